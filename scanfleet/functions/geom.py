@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Gravity magnitudes and small-angle limits that results must agree with.
@@ -101,6 +101,23 @@ class Pose(NamedTuple):
         return F.struct(*self.columns())
 
 
+def stage(df: DataFrame, prefix: str, value: Pose | Vec) -> tuple[DataFrame, Pose | Vec]:
+    """Materialise a pose or vector as flat columns before composing further.
+
+    Nested compositions repeat their operands; a flat column that is used several times stays a
+    projection of its own, which keeps generated code small.
+    """
+    if isinstance(value, Pose):
+        cols = dict(zip((f"{prefix}_{c}" for c in POSE_COLUMNS), (*value.t, *value.q)))
+        return df.withColumns(cols), Pose.of(prefix)
+    cols = dict(zip((f"{prefix}_{c}" for c in "xyz"), value))
+    return df.withColumns(cols), Vec.of(*cols)
+
+
+def unstage(df: DataFrame, *prefixes: str) -> DataFrame:
+    return df.drop(*(f"{p}_{c}" for p in prefixes for c in [*POSE_COLUMNS, *"xyz"]))
+
+
 POSE_COLUMNS = ["tx", "ty", "tz", "qw", "qx", "qy", "qz"]
 
 Matrix = list[list[Column]]
