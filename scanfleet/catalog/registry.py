@@ -60,9 +60,10 @@ def keyframe_poses(spark: SparkSession, sf: str, opt: bool = False, metres: bool
     kf = fixtures.view(spark, sf, "keyframes")
     k = 1000.0 if metres else 1.0
     src = ("ox_mm", "oy_mm", "oz_mm") if opt else ("x_mm", "y_mm", "z_mm")
-    half = F.atan2(F.col("r10"), F.col("r00")) / 2
+    # Half-angle of the quarter turn by square roots, which every engine rounds alike.
+    qw = F.sqrt((1 + F.col("r00")) / 2.0)
+    qz = F.sqrt((1 - F.col("r00")) / 2.0) * F.when(F.col("r10") < 0, -1.0).otherwise(1.0)
     pose = geom.Pose(
-        geom.Quat(F.cos(half), F.lit(0.0), F.lit(0.0), F.sin(half)),
-        geom.Vec(*(F.col(c) / k for c in src)),
+        geom.Quat(qw, F.lit(0.0), F.lit(0.0), qz), geom.Vec(*(F.col(c) / k for c in src))
     )
     return kf.select("run_id", "kf_id", "t_ms", *pose.columns())
