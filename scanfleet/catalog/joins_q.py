@@ -254,7 +254,7 @@ def _(spark, sf):
 
 def _info_cells(spark, sf):
     cells = A.ndt_cells(view(spark, sf, "points"), 1000, scale=1e-3, clamp=False).filter("n >= 6")
-    return cells.withColumns(dict(zip(A.INFO_NAMES, geom.sym3_inverse([F.col(c) for c in SYM]))))
+    return geom.add_sym3_inverse(cells, [F.col(c) for c in SYM], A.INFO_NAMES)
 
 
 D1, D2 = J.ndt_constants(1.0)

@@ -158,6 +158,8 @@ def oracle(body: str) -> str:
     ctes = _ctes(sorted(_words(body) & VIEWS.keys()), "duckdb")
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {', '.join(ctes)}, {body[5:]}"
     return f"WITH {', '.join(ctes)} {body}"

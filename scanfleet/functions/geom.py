@@ -402,11 +402,31 @@ def sym3_eigenvalues(c: list[Column]) -> list[Column]:
     return [lo, 3.0 * q - hi - lo, hi]
 
 
-def solve3(m: list[Column], b: list[Column]) -> list[Column]:
-    """Solution of a symmetric 3×3 system; null when singular."""
-    inv = sym3_inverse(m)
+def add_sym3_inverse(df: DataFrame, c: list[Column], names: list[str]) -> DataFrame:
+    """Add the six columns of the inverse; the determinant is computed once, as its own column."""
+    named = df.withColumns({f"_i{k}": e for k, e in enumerate(c)})
+    xx, xy, xz, yy, yz, zz = m = [F.col(f"_i{k}") for k in range(6)]
+    det = sym3_det(m)
+    named = named.withColumn("_det", F.when(det != 0, det))
+    d = F.col("_det")
+    inv = [
+        (yy * zz - yz * yz) / d,
+        (xz * yz - xy * zz) / d,
+        (xy * yz - xz * yy) / d,
+        (xx * zz - xz * xz) / d,
+        (xy * xz - xx * yz) / d,
+        (xx * yy - xy * xy) / d,
+    ]
+    return named.withColumns(dict(zip(names, inv))).drop("_det", *(f"_i{k}" for k in range(6)))
+
+
+def add_solve3(df: DataFrame, m: list[Column], b: list[Column], names: list[str]) -> DataFrame:
+    """Add the solution of a symmetric 3×3 system; null when singular."""
+    tmp = [f"_n{k}" for k in range(6)]
+    out = add_sym3_inverse(df, m, tmp)
     rows = [(0, 1, 2), (1, 3, 4), (2, 4, 5)]
-    return [sum_(inv[i] * b[k] for k, i in enumerate(row)) for row in rows]
+    sol = {n: sum_(F.col(tmp[i]) * b[k] for k, i in enumerate(r)) for n, r in zip(names, rows)}
+    return out.withColumns(sol).drop(*tmp)
 
 
 def s2_gravity(a: Vec) -> Vec:

@@ -83,10 +83,10 @@ def voxel_gaussian(
     padded = [
         F.col(c) + COV_REGULARISER if i == j else F.col(c) for c, (i, j) in zip(SYM3_NAMES, SYM3)
     ]
-    inv = geom.sym3_inverse(padded)
+    out = geom.add_sym3_inverse(out, padded, INFO_NAMES)
     info = {
-        n: F.when(F.col("n") > 1, e).otherwise(SINGLE_POINT_INFO if i == j else 0.0)
-        for n, e, (i, j) in zip(INFO_NAMES, inv, SYM3)
+        n: F.when(F.col("n") > 1, F.col(n)).otherwise(SINGLE_POINT_INFO if i == j else 0.0)
+        for n, (i, j) in zip(INFO_NAMES, SYM3)
     }
     return out.withColumns(info)
 
@@ -383,8 +383,8 @@ def fit_circle(points: DataFrame, by: Sequence[str]) -> DataFrame:
         ),
     )
     m = [F.col(c) for c in ("_xx", "_xy", "_x", "_yy", "_y", "_n")]
-    a, b, c = geom.solve3(m, [F.col("_xq"), F.col("_yq"), F.col("_q")])
-    fit = s.select(*by, a.alias("_a"), b.alias("_b"), c.alias("_c"))
+    rhs = [F.col("_xq"), F.col("_yq"), F.col("_q")]
+    fit = geom.add_solve3(s, m, rhs, ["_a", "_b", "_c"]).select(*by, "_a", "_b", "_c")
     a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
     e = q - a * x - b * y - c
     res = points.join(fit, list(by)).groupBy(*by).agg(F.sum(e * e).alias("residual"))
@@ -410,14 +410,11 @@ def plane_fit(neighbours: DataFrame, by: Sequence[str], max_dist: float = 0.1, s
         *(F.sum(-v[i]).cast("double").alias(f"_b{i}") for i in range(3)),
     )
     m = [F.col(f"_p{i}{j}") * (scale * scale) for i, j in SYM3]
-    sol = s.filter(F.col("n") >= 3).select(
-        *by, "n", *(c.alias(f"_n{i}") for i, c in enumerate(geom.solve3(m, [F.col(f"_b{i}") * scale for i in range(3)])))
-    )
-    w = geom.Vec.of("_n0", "_n1", "_n2")
-    norm = w.norm()
-    plane = sol.filter(F.col("_n0").isNotNull()).select(
-        *by, "n", *(c.alias(a) for a, c in zip(("pa", "pb", "pc"), w.times(1.0 / norm))), (1.0 / norm).alias("pd")
-    )
+    rhs = [F.col(f"_b{i}") * scale for i in range(3)]
+    sol = geom.add_solve3(s.filter(F.col("n") >= 3), m, rhs, ["_w0", "_w1", "_w2"])
+    w = geom.Vec.of("_w0", "_w1", "_w2")
+    sol = sol.filter(F.col("_w0").isNotNull()).withColumn("pd", 1.0 / w.norm())
+    plane = sol.select(*by, "n", *(c.alias(a) for a, c in zip(("pa", "pb", "pc"), w.times(F.col("pd")))), "pd")
     far = F.abs(F.col("pa") * (v[0] * scale) + F.col("pb") * (v[1] * scale) + F.col("pc") * (v[2] * scale) + F.col("pd"))
     worst = neighbours.join(plane, list(by)).groupBy(*by).agg(F.max(far).alias("max_dist"))
     return plane.join(worst.filter(F.col("max_dist") <= max_dist), list(by))
@@ -494,9 +491,9 @@ def floor_plane(
         ),
     )
     # The floor is near horizontal: refit z = p x + q y + r.
-    p, q, r = geom.solve3(
-        [F.col(c) for c in ("_xx", "_xy", "_x", "_yy", "_y", "_n")], [F.col(c) for c in ("_xz", "_yz", "_z")]
-    )
+    normal = [F.col(c) for c in ("_xx", "_xy", "_x", "_yy", "_y", "_n")]
+    s = geom.add_solve3(s, normal, [F.col(c) for c in ("_xz", "_yz", "_z")], ["_p", "_q", "_r"])
+    p, q, r = F.col("_p"), F.col("_q"), F.col("_r")
     length = F.sqrt(p * p + q * q + 1.0)
     out = s.select(
         *by, "n_candidates", "n_inliers",

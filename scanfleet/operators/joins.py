@@ -75,10 +75,44 @@ def _near(q: DataFrame, m: DataFrame, key: Sequence[str], by: Sequence[str], cel
     pairs = qc.join(mc, [*by, *grid]).withColumn("d2", d2)
     pairs = pairs.filter((F.col("d2") < max_range * max_range) & _in_stencil(size, voxel))
     w = Window.partitionBy(*key).orderBy("d2", "map_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
     return ranked.select(*key, "map_id", "nx", "ny", "nz", "d2", "rank")
 
 
+def _near_bounded(q: DataFrame, m: DataFrame, key: Sequence[str], by: Sequence[str], cell: float, offsets, size: int | None, k: int, max_range: float) -> DataFrame:
+    """As :func:`_near` when no cell holds many map points: one array of candidates per cell.
+
+    The map is fanned out instead of the queries, so each query meets exactly one row and ranks
+    its candidates in place; nothing is shuffled by query.
+    """
+    grid = ["_cx", "_cy", "_cz"]
+    cols = ["map_id", "nx", "ny", "nz"] + ([f"_m{c}" for c in VOXEL] if size else [])
+    mc = fan_out(voxel_key(m.select(*by, *cols), cell, "round", ("nx", "ny", "nz"), grid), offsets, grid)
+    near = mc.groupBy(*by, *grid).agg(F.collect_list(F.struct(*cols)).alias("_c"))
+    qc = voxel_key(q, cell, "round", ("_qx", "_qy", "_qz"), grid)
+    d = lambda p: [p[n] - F.col(c) for n, c in zip(("nx", "ny", "nz"), ("_qx", "_qy", "_qz"))]
+
+    def ranked(p: Column) -> Column:
+        u = d(p)
+        d2 = u[0] * u[0] + u[1] * u[1] + u[2] * u[2]
+        return F.struct(d2.alias("d2"), *(p[c].alias(c) for c in cols))
+
+    def wanted(p: Column) -> Column:
+        ok = p["d2"] < max_range * max_range
+        return ok & _in_stencil(size, [p[f"_m{c}"] - F.col(f"_q{c}") for c in VOXEL]) if size else ok
+
+    best = F.slice(F.array_sort(F.filter(F.transform("_c", ranked), wanted)), 1, k)
+    hits = qc.join(near, [*by, *grid]).select(*key, F.posexplode(best).alias("_r", "_n"))
+    return hits.select(*key, *(F.col(f"_n.{c}").alias(c) for c in ("map_id", "nx", "ny", "nz", "d2")), (F.col("_r") + 1).cast("bigint").alias("rank"))
+
+
+def _fullest(m: DataFrame, by: Sequence[str], cell: float) -> int:
+    """Map points in the fullest cell of the given size."""
+    grid = ["_cx", "_cy", "_cz"]
+    keyed = voxel_key(m, cell, "round", ("nx", "ny", "nz"), grid)
+    return keyed.groupBy(*by, *grid).count().agg(F.max("count")).first()[0] or 0
+
+
 def knn(
     queries: DataFrame, points: DataFrame, key: Sequence[str], map_id: str, k: int = 5,
     max_range: float = 5.0, leaf: float = 0.5, size: int = 19, by: Sequence[str] = (),
@@ -86,32 +120,36 @@ def knn(
 ) -> DataFrame:
     """The ``k`` nearest map points of each query inside its voxel stencil (ties by ``map_id``).
 
-    Dense places do not pair everything with everything: coincident map points are first cut to
-    ``k`` (the others can never rank), and when a voxel holds more than ``dense`` points the search
-    starts from finer cells. A query is settled at a level as soon as its k-th neighbour is nearer
-    than the cell size, which proves that no closer point was missed; the rest goes on to the next
-    coarser level and finally to the voxels themselves.
+    While no voxel holds more than ``dense`` points (measured), each query is ranked against the
+    candidate array of its voxel. Dense places never pair everything with everything: coincident map
+    points are first cut to ``k`` (the others can never rank) and the search starts from finer
+    cells. A query is settled at a level as soon as its k-th neighbour is nearer than the cell size,
+    which proves that no closer point was missed; the rest goes on to the next coarser level and
+    finally to the voxels themselves.
     """
     m = points.select(*by, F.col(map_id).alias("map_id"), *(F.col(c).alias(f"n{c}") for c in "xyz"))
+    q = queries.select(*dict.fromkeys([*by, *key]), *(F.col(c).alias(f"_q{c}") for c in "xyz"))
+    if _fullest(m, by, leaf) <= dense:
+        return _near_bounded(q, m, key, by, leaf, stencil(size), None, k, max_range)
     same = Window.partitionBy(*by, "nx", "ny", "nz").orderBy("map_id")
     m = m.withColumn("_dup", F.row_number().over(same)).filter(F.col("_dup") <= k).drop("_dup")
-    m = voxel_key(m, leaf, "round", ("nx", "ny", "nz"), [f"_m{c}" for c in VOXEL])
-    q = queries.select(*dict.fromkeys([*by, *key]), *(F.col(c).alias(f"_q{c}") for c in "xyz"))
+    m = cut(voxel_key(m, leaf, "round", ("nx", "ny", "nz"), [f"_m{c}" for c in VOXEL]))
     q = voxel_key(q, leaf, "round", ("_qx", "_qy", "_qz"), [f"_q{c}" for c in VOXEL])
-    top = m.groupBy(*by, *(f"_m{c}" for c in VOXEL)).count().agg(F.max("count")).first()[0] or 0
-    levels = max(0, math.ceil(math.log(max(top, 1) / dense, 8))) if top > dense else 0
-    if levels == 0:
-        return _near(q, m, key, by, leaf, stencil(size), size, k, max_range)
+    cells, full = [leaf], [_fullest(m, by, leaf)]
+    while full[-1] > max(dense, k):
+        cells.append(cells[-1] / 2)
+        full.append(_fullest(m, by, cells[-1]))
     done = None
-    for level in range(levels, 0, -1):
-        cell = leaf / (1 << level)
-        found = cut(_near(q, m, key, by, cell, stencil(27), size, k, max_range))
+    for cell, most in list(zip(cells, full))[:0:-1]:
+        search = _near_bounded if most <= dense else _near
+        found = cut(search(q, m, key, by, cell, stencil(27), size, k, max_range))
         sure = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("d2").alias("_far"))
         sure = sure.filter((F.col("_n") >= k) & (F.col("_far") <= cell * cell)).select(*key)
         settled = found.join(sure, list(key), "left_semi")
         done = settled if done is None else done.unionByName(settled)
         q = cut(q.join(sure, list(key), "left_anti"))
-    return done.unionByName(_near(q, m, key, by, leaf, stencil(size), size, k, max_range))
+    last = (_near_bounded if full[0] <= dense else _near)(q, m, key, by, leaf, stencil(size), size, k, max_range)
+    return last if done is None else done.unionByName(last)
 
 
 def nearest(
@@ -433,7 +471,7 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: Sequence[str], cel
     """
     if not enabled:
         return points.withColumn("area_id", F.lit(1).cast("bigint"))
-    xs, ys = (F.transform("ring", lambda v, c=c: v[c]) for c in "xy")
+    xs, ys = F.col("ring.x"), F.col("ring.y")
     box = areas.select(
         "area_id", "ring",
         *(F.floor(f(a) / cell).cast("bigint").alias(n) for a, n, f in ((xs, "_x0", F.array_min), (xs, "_x1", F.array_max), (ys, "_y0", F.array_min), (ys, "_y1", F.array_max))),
