@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scanfleet.functions import geom
 from scanfleet.functions.keys import diamond, fan_out, planar_cells, stencil, tile_key, voxel_key
 from scanfleet.operators.aggregate import INFO_NAMES, plane_fit, voxel_downsample
-from scanfleet.operators.ordered import Carry, running
+from scanfleet.operators.ordered import Carry, needs_split, running
 from scanfleet.operators.points import transform_points
 from scanfleet.operators.windows import ordered_fold
 from scanfleet.session import cut
@@ -445,20 +445,22 @@ def tile_residency(
     """
     by = list(by)
     here = tile_key(poses, size).withColumn("_g", F.struct("gx", "gy"))
-    here = running(here, by, [order], span, [Carry("_p", "last_before", F.col("_g"))])
+    split = needs_split(poses, by)
+    here = running(here, by, [order], span, [Carry("_p", "last_before", F.col("_g"))], split)
     moved = here.filter(F.col("_p").isNull() | (F.col("_p") != F.col("_g"))).drop("_p", "_g")
-    moved = running(moved, by, [order], span, [Carry("step", "count")])
+    moved = running(moved, by, [order], span, [Carry("step", "count")], split, settle=True)
     base = moved.select(*by, "step", order, F.col("gx").alias("_hx"), F.col("gy").alias("_hy"), "gx", "gy")
     wide = fan_out(base, diamond(unload), ["gx", "gy"])
     wide = wide.join(tiles.select("gx", "gy").distinct(), ["gx", "gy"], "left_semi")
     near = F.abs(F.col("gx") - F.col("_hx")) + F.abs(F.col("gy") - F.col("_hy")) <= load
     wide = wide.withColumn("_in", near)
     key = [*by, "gx", "gy"]
-    wide = running(wide, key, ["step"], 4096, [Carry("_prev", "last_before", F.col("step"))])
+    wide = running(wide, key, ["step"], 4096, [Carry("_prev", "last_before", F.col("step"))], split, settle=True)
     fresh = F.col("_prev").isNull() | (F.col("_prev") != F.col("step") - 1)
     wide = running(
         wide, key, ["step"], 4096,
         [Carry("_start", "last", F.when(fresh, F.col("step"))), Carry("_load", "last", F.when(F.col("_in"), F.col("step")))],
+        split, settle=True,
     )
     return wide.filter(F.col("_load") >= F.col("_start")).select(*by, order, "step", "gx", "gy")
 

@@ -1,9 +1,10 @@
 """Running values along each key's time order, split so that no key has to fit one task.
 
-A plain ``Window.partitionBy(key)`` puts a whole vehicle or run into one task. Here each key is cut
-into chunks of its order column; windows run inside a chunk, one summary row per chunk carries the
-value across chunk borders, and the two are combined. A key that holds a third of all rows is
-spread over as many tasks as it has chunks.
+A plain ``Window.partitionBy(key)`` puts a whole vehicle or run into one task, which is fine only
+while the largest key is known to be small. :func:`needs_split` measures that. When a key is too
+big, it is cut into chunks of its order column; windows run inside a chunk, one summary row per
+chunk carries the value across chunk borders, and the two are combined. A key that holds a third
+of all rows is then spread over as many tasks as it has chunks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanfleet.session import cut
+
+# Rows one key may have in a single sorted window task.
+KEY_ROWS = 2_000_000
+
 
 @dataclass(frozen=True)
 class Carry:
@@ -32,18 +38,57 @@ class Carry:
 _BEFORE = {"max_before": "max", "min_before": "min", "last_before": "last"}
 
 
+def needs_split(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
+    """True when some key has more than ``limit`` rows (one counting job)."""
+    most = df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    return (most or 0) > (KEY_ROWS if limit is None else limit)
+
+
+def _whole(df: DataFrame, by: list[str], order: list[str], carries: Sequence[Carry]) -> DataFrame:
+    """Every carry as an ordinary window over the key."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    onward, after = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(1, Window.unboundedFollowing)
+    make = {
+        "count": lambda v: F.row_number().over(w).cast("bigint"),
+        "total": lambda v: F.count(F.lit(1)).over(Window.partitionBy(*by)),
+        "sum": lambda v: F.coalesce(F.sum(v).over(upto), F.lit(0)),
+        "max_before": lambda v: F.max(v).over(before),
+        "min_before": lambda v: F.min(v).over(before),
+        "last": lambda v: F.last(v, ignorenulls=True).over(upto),
+        "last_before": lambda v: F.last(v, ignorenulls=True).over(before),
+        "next": lambda v: F.first(v, ignorenulls=True).over(onward),
+        "next_after": lambda v: F.first(v, ignorenulls=True).over(after),
+    }
+    out = df.withColumns({f"_v{i}": c.value for i, c in enumerate(carries) if c.value is not None})
+    keep = [c for c in df.columns if c not in {c.name for c in carries}]
+    return out.select(*keep, *(make[c.kind](F.col(f"_v{i}")).alias(c.name) for i, c in enumerate(carries)))
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
     span: float,
     carries: Sequence[Carry],
+    split: bool | None = None,
+    settle: bool = False,
 ) -> DataFrame:
     """Add every carry to ``df``. ``span`` is the chunk width in units of ``order[0]``.
 
+    ``split`` says whether keys must be cut into chunks; by default it is measured. Callers that
+    chain several passes measure once and set ``settle`` on the later ones: the input is then
+    written once instead of being recomputed for both sides of the chunk join.
+
     Pick ``span`` so that one chunk of one key fits a task (for a 100 Hz log, an hour is 360 000
     rows). ``order`` must be a total order within ``by``.
     """
+    if split is None:
+        split = needs_split(df, by)
+    if not split:
+        return _whole(df, list(by), list(order), carries)
+    if settle:
+        df = cut(df)
     by, order = list(by), list(order)
     values = {f"_v{i}": c.value for i, c in enumerate(carries) if c.value is not None}
     base = df.withColumns(
@@ -120,20 +165,36 @@ def with_halo(
 
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[str], span: float, n: int) -> DataFrame:
     """The ``n`` newest rows per key, by position from the end (no single-task sort of a key)."""
-    out = running(df, by, order, span, [Carry("_pos", "count"), Carry("_all", "total")])
+    split = needs_split(df, by)
+    if not split and n < 1000:
+        # A small top-n is limited before the shuffle.
+        w = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in order))
+        return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= n).drop("_pos")
+    out = running(df, by, order, span, [Carry("_pos", "count"), Carry("_all", "total")], split)
     return out.filter(F.col("_pos") > F.col("_all") - n).drop("_pos", "_all")
 
 
 def order_stats(
-    df: DataFrame, by: Sequence[str], value: str, picks: dict[str, Column], buckets: int = 256
+    df: DataFrame, by: Sequence[str], value: str, picks: dict[str, Column], buckets: int = 256,
+    split: bool | None = None,
 ) -> DataFrame:
-    """Exact order statistics per group without sorting a group in one task.
+    """Exact order statistics per group; no group too big for a task is sorted in one.
 
     ``picks`` maps an output name to a 0-based rank as an expression over ``n`` (rows of the
     group). Equal values are merged first; approximate quantiles only choose bucket borders, exact
     counts per bucket locate each rank, and just the buckets that hold a wanted rank are ordered.
     """
     by = list(by)
+    if split is None:
+        split = needs_split(df, by)
+    if not split:
+        w = Window.partitionBy(*by)
+        ranked = df.filter(F.col(value).isNotNull()).select(
+            *by, value, F.count(F.lit(1)).over(w).alias("n"), (F.row_number().over(w.orderBy(value)) - 1).alias("_k")
+        )
+        return ranked.groupBy(*by).agg(
+            *(F.max(F.when(F.col("_k") == e.cast("bigint"), F.col(value))).alias(k) for k, e in picks.items())
+        )
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("_c")
     )

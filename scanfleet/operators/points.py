@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfleet.functions import geom
-from scanfleet.operators.ordered import Carry, running
+from scanfleet.operators.ordered import Carry, needs_split, running
 
 SCAN = ["run_id", "scan_id"]
 # Points of one scan that share a task when a scan is cut along its point index.
@@ -154,10 +154,12 @@ def split_on_rollback(
     msgs: DataFrame, by: Sequence[str], arrival: Sequence[str], ts: str, span: float
 ) -> DataFrame:
     """Start a new ``segment_id`` wherever time goes back, keeping every row."""
-    out = running(msgs, by, arrival, span, [Carry("_prev", "last_before", F.col(ts))])
+    split = needs_split(msgs, by)
+    out = running(msgs, by, arrival, span, [Carry("_prev", "last_before", F.col(ts))], split)
     back = F.when(F.col(ts) < F.col("_prev"), 1).otherwise(0).cast("bigint")
     out = out.withColumn("_back", back).drop("_prev")
-    return running(out, by, arrival, span, [Carry("segment_id", "sum", F.col("_back"))]).drop("_back")
+    total = [Carry("segment_id", "sum", F.col("_back"))]
+    return running(out, by, arrival, span, total, split, settle=True).drop("_back")
 
 
 def transform_points(

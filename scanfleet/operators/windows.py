@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanfleet.functions import geom
-from scanfleet.operators.ordered import Carry, running, with_halo
+from scanfleet.operators.ordered import Carry, needs_split, running, with_halo
 
 # Limits of the streams' health checks.
 IMU_GAP_S = 0.1
@@ -62,9 +62,10 @@ def rows_since(
 
     Adds ``name`` and ``name_seen`` (whether an event has happened).
     """
-    out = running(df, by, order, span, [Carry("_pos", "count")])
+    split = needs_split(df, by)
+    out = running(df, by, order, span, [Carry("_pos", "count")], split)
     mark = F.when(event, F.col("_pos"))
-    out = running(out, by, order, span, [Carry("_at", "last", mark)])
+    out = running(out, by, order, span, [Carry("_at", "last", mark)], split, settle=True)
     return out.withColumns(
         {name: F.col("_pos") - F.coalesce(F.col("_at"), F.lit(0)), f"{name}_seen": F.col("_at").isNotNull()}
     ).drop("_pos", "_at")
@@ -175,11 +176,12 @@ def path_length(
     The running sum adds whole ``quantum`` steps, so it is the same for every partitioning.
     """
     now = F.struct(F.col(order[0]).alias("t"), *(F.col(c) for c in ("tx", "ty", "tz")))
-    out = running(poses, by, order, span, [Carry("_p", "last_before", now)])
+    split = needs_split(poses, by)
+    out = running(poses, by, order, span, [Carry("_p", "last_before", now)], split)
     step = geom.Vec.of("tx", "ty", "tz").minus(geom.Vec.of("_p.tx", "_p.ty", "_p.tz")).norm()
     out = out.withColumn("_q", F.floor(F.coalesce(step, F.lit(0.0)) / quantum + 0.5).cast("bigint"))
     out = out.withColumn("_dt", (F.col(order[0]) - F.col("_p.t")) / per_second).drop("_p")
-    out = running(out, by, order, span, [Carry("_sum", "sum", F.col("_q"))])
+    out = running(out, by, order, span, [Carry("_sum", "sum", F.col("_q"))], split, settle=True)
     return out.withColumns(
         {
             "step": F.col("_q") * quantum,
