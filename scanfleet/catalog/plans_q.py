@@ -12,7 +12,8 @@ from scanfleet.functions import geom
 from scanfleet.operators import aggregate as A
 from scanfleet.operators import joins as J
 from scanfleet.plans import bundle as B
-from scanfleet.plans import fits, linear, posegraph, registration
+from scanfleet.plans import fits, linear, mapping, posegraph, registration
+from scanfleet.session import scratch_path
 
 SCAN = ["run_id", "scan_id"]
 POSE = geom.POSE_COLUMNS
@@ -164,3 +165,22 @@ def _(spark, sf):
     return out.select("grp", *(r3(c) for c in ("h_0_0", "h_0_1", "h_1_2", "b_0", "cost")), "n")
 
 
+
+
+@register("i10_map_from_logs")
+def _(spark, sf):
+    poses = keyframe_poses(spark, sf).withColumn("t", F.col("t_ms") / 1000.0).select("run_id", "kf_id", "t", *POSE)
+    pts = view(spark, sf, "kf_points", metres=True).select("run_id", "kf_id", "idx", "x", "y", "z")
+    return mapping.build_map(
+        poses, pts, scratch_path(spark, "map"), plane=(0.0, 0.0, 1.0, 1.25), loop_levels=(10.0,), min_loop_score=0.1, graph_iters=1,
+        key_distance=1.0, cg_iters=4, loop_iters=1,
+    )
+
+
+@register("i11_localize_logs")
+def _(spark, sf):
+    scans = fixtures.view(spark, sf, "scans").select(*SCAN, (F.col("t_begin_ms") / 1000.0).alias("t"))
+    drift = geom.Vec(F.lit(0.1), F.lit(-0.05), F.lit(0.0))
+    odo = scans.select("run_id", "t", *geom.Pose(geom.identity_quat(), drift).columns())
+    world = view(spark, sf, "points", metres=True).select("x", "y", "z")
+    return mapping.localize(scans, scan_points(spark, sf), odo, world, iters=2, min_score=0.1)
