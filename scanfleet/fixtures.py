@@ -92,7 +92,8 @@ VIEWS: dict[str, str] = {
     "graph_edges": """
         SELECT a.run_id, a.run_id*1000000 + a.kf_id AS v0, b.run_id*1000000 + b.kf_id AS v1, CASE WHEN b.kf_id - a.kf_id = 200 THEN 'loop' ELSE 'odom' END AS etype,
           b.ox_mm - a.ox_mm AS mx_mm, b.oy_mm - a.oy_mm AS my_mm, b.oz_mm - a.oz_mm AS mz_mm, CAST(0 AS BIGINT) AS level
-        FROM keyframes a JOIN keyframes b ON a.run_id = b.run_id AND (b.kf_id = a.kf_id + 1 OR b.kf_id = a.kf_id + 2 OR b.kf_id = a.kf_id + 200)
+        FROM keyframes a JOIN (SELECT kf_id - 1 AS ka, * FROM keyframes UNION ALL SELECT kf_id - 2 AS ka, * FROM keyframes UNION ALL SELECT kf_id - 200 AS ka, * FROM keyframes) b
+          ON a.run_id = b.run_id AND a.kf_id = b.ka
     """,
     "dyn_areas": """
         SELECT CAST(r_regionkey AS BIGINT) AS area_id, v.k AS k, CAST(r_regionkey*3000 - 7000 + v.dx AS BIGINT) AS x_mm, CAST(r_regionkey*2000 - 5000 + v.dy AS BIGINT) AS y_mm

@@ -297,6 +297,19 @@ def slerp(a: Quat, b: Quat, s: Column) -> Quat:
     return Quat(*(p * wa + q * wb for p, q in zip(a, b)))
 
 
+def stage_slerp(df: DataFrame, prefix: str, a: Quat, b: Quat, s: Column) -> tuple[DataFrame, tuple[Column, Column]]:
+    """Slerp weights of both quaternions as columns (see :func:`slerp` and :func:`stage`)."""
+    df = df.withColumn(f"{prefix}_c", a.w * b.w + a.vec.dot(b.vec))
+    cosine = F.col(f"{prefix}_c")
+    df = df.withColumn(f"{prefix}_t", F.acos(F.least(F.abs(cosine), F.lit(1.0))))
+    theta = F.col(f"{prefix}_t")
+    near = F.abs(cosine) >= 1.0 - 2.220446049250313e-16
+    wa = F.when(near, 1.0 - s).otherwise(F.sin((1.0 - s) * theta) / F.sin(theta))
+    wb = F.when(near, s).otherwise(F.sin(s * theta) / F.sin(theta))
+    df = df.withColumns({f"{prefix}_a": wa, f"{prefix}_b": F.when(cosine < 0, -wb).otherwise(wb)})
+    return df, (F.col(f"{prefix}_a"), F.col(f"{prefix}_b"))
+
+
 def pose_mix(a: Pose, b: Pose, s: Column) -> Pose:
     """Slerp of the rotation, linear mix of the translation."""
     return Pose(slerp(a.q, b.q, s), a.t.times(1.0 - s).plus(b.t.times(s)))

@@ -255,12 +255,18 @@ def interpolate_pose(
     out = out.withColumn("_s", s)
     s = F.col("_s")
     out, rel = geom.stage(out, "_r", geom.pose_between(pa, pb))
-    rho, w = geom.se3_log(rel)
-    out, rho = geom.stage(out, "_h", rho)
-    out, w = geom.stage(out, "_w", w)
-    out, delta = geom.stage(out, "_d", geom.se3_exp(rho.times(s), w.times(s)))
+    # Twist of the pair, scaled by s and put back on the last pose; each step is its own column.
+    out, w = geom.stage(out, "_w", geom.quat_log(rel.q))
+    out, rho = geom.stage(out, "_h", geom.so3_left_jacobian_apply(w, rel.t, inverse=True))
+    out, w = geom.stage(out, "_u", w.times(s))
+    out, rho = geom.stage(out, "_v", rho.times(s))
+    out, shift = geom.stage(out, "_g", geom.so3_left_jacobian_apply(w, rho))
+    out, delta = geom.stage(out, "_d", geom.Pose(geom.so3_exp(w, 1.0, 1e-12), shift))
     out, ahead = geom.stage(out, "_x", geom.pose_compose(pb, delta))
-    out, mixed = geom.stage(out, "_m", geom.pose_mix(pa, pb, s))
+    out, weights = geom.stage_slerp(out, "_k", pa.q, pb.q, s)
+    mixed = geom.Pose(
+        geom.Quat(*(p * weights[0] + q * weights[1] for p, q in zip(pa.q, pb.q))), pa.t.times(1.0 - s).plus(pb.t.times(s))
+    )
     no_pair = F.col("_a").isNull()
     ok = (F.col("_count") >= 2) & F.when(F.col("_after"), q < F.col("_b.t") + within).when(
         F.col("_before"), q >= F.col("_b.t") - within
