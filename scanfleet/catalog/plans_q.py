@@ -144,7 +144,7 @@ def _(spark, sf):
     x = (F.col("c_custkey") * 7 % 41) / 4.0
     noise = (F.col("c_custkey") * 7919 % 11 - 5) / 500.0
     pts = c.select(F.col("c_nationkey").cast("bigint").alias("grp"), x.alias("x"), (2.0 * F.exp(-0.4 * x) + 0.2 + noise).alias("y"))
-    return fits.fit_exp_decay(pts, ["grp"], iters=8)
+    return fits.fit_exp_decay(pts, ["grp"], iters=15)
 
 
 def circle_error(x: np.ndarray, d: np.ndarray) -> np.ndarray:
