@@ -57,13 +57,13 @@ def knn_sql(k: int, reach: int = 2) -> str:
       n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, idx ORDER BY d2, map_id) AS rank FROM d WHERE d2 < 25000000) WHERE rank <= {k})"""
 
 
-def ivox_map(pts):
+def recent_map(pts):
     kept = T.retain_latest(pts, 500, ["scan_id", "idx"])
     return kept.select((F.col("scan_id") * 100000 + F.col("idx")).alias("map_id"), "x", "y", "z")
 
 
 def five_nearest(pts, k: int = 5):
-    return J.knn(pts, ivox_map(pts), ["scan_id", "idx"], "map_id", k, 5000, 500, 19)
+    return J.knn(pts, recent_map(pts), ["scan_id", "idx"], "map_id", k, 5000, 500, 19)
 
 
 @register("j3_knn", f"WITH {knn_sql(5)} SELECT scan_id, idx, map_id, d2, rank FROM n")
@@ -74,7 +74,7 @@ def _(spark, sf):
 @register("j4_nearest", f"WITH {knn_sql(1, 0)} SELECT scan_id, idx, map_id, d2 FROM points LEFT JOIN n USING (scan_id, idx)")
 def _(spark, sf):
     pts = view(spark, sf, "points")
-    return J.nearest(pts, ivox_map(pts), ["scan_id", "idx"], "map_id", 5000, 500, 1).select("scan_id", "idx", "map_id", "d2")
+    return J.nearest(pts, recent_map(pts), ["scan_id", "idx"], "map_id", 5000, 500, 1).select("scan_id", "idx", "map_id", "d2")
 
 
 @register(

@@ -56,21 +56,21 @@ def _(spark, sf):
     return registration.yaw_search(scan_points(spark, sf), seeds, coarse, fine, SCAN, n=6, iters=1, threshold=0.1)
 
 
-def ivox(spark, sf):
-    from scanfleet.catalog.joins_q import ivox_map
+def recent(spark, sf):
+    from scanfleet.catalog.joins_q import recent_map
 
-    return ivox_map(view(spark, sf, "points")).select("map_id", *((F.col(c) / 1000.0).alias(c) for c in "xyz"))
+    return recent_map(view(spark, sf, "points")).select("map_id", *((F.col(c) / 1000.0).alias(c) for c in "xyz"))
 
 
 @register("i4_register_point_to_plane")
 def _(spark, sf):
-    return registration.register_point_to_plane(offset_starts(spark, sf, 0.02, 0.01, 0.0), scan_points(spark, sf), ivox(spark, sf), SCAN, "idx", iters=1)
+    return registration.register_point_to_plane(offset_starts(spark, sf, 0.02, 0.01, 0.0), scan_points(spark, sf), recent(spark, sf), SCAN, "idx", iters=1)
 
 
 @register("i5_register_icp")
 def _(spark, sf):
     starts = offset_starts(spark, sf, 0.02, 0.01, 0.0)
-    out = registration.register_icp(starts, scan_points(spark, sf), ivox(spark, sf), SCAN, "idx", iters=1)
+    out = registration.register_icp(starts, scan_points(spark, sf), recent(spark, sf), SCAN, "idx", iters=1)
     return registration.gate_refinement(starts, out, SCAN)
 
 
@@ -175,12 +175,3 @@ def _(spark, sf):
         poses, pts, scratch_path(spark, "map"), plane=(0.0, 0.0, 1.0, 1.25), loop_levels=(10.0,), min_loop_score=0.1, graph_iters=1,
         key_distance=1.0, cg_iters=4, loop_iters=1,
     )
-
-
-@register("i11_localize_logs")
-def _(spark, sf):
-    scans = fixtures.view(spark, sf, "scans").select(*SCAN, (F.col("t_begin_ms") / 1000.0).alias("t"))
-    drift = geom.Vec(F.lit(0.1), F.lit(-0.05), F.lit(0.0))
-    odo = scans.select("run_id", "t", *geom.Pose(geom.identity_quat(), drift).columns())
-    world = view(spark, sf, "points", metres=True).select("x", "y", "z")
-    return mapping.localize(scans, scan_points(spark, sf), odo, world, iters=2, min_score=0.1)
