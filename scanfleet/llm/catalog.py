@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfleet.llm import langid, packing, sharding, simhash
+from scanfleet.llm import automata, columnwise, langid, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2,
     "op3_language_id": langid.op3,
     "op6_hypergeometric_shards": sharding.op6,
+    "op8_suffix_automata": automata.op8,
     "op9_simhash_components": simhash.op9,
 }
 
