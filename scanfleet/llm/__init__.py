@@ -1,8 +1,7 @@
 """Operators of a training-data pipeline; nothing else in the library imports this subpackage."""
 
-import sys
-
+import scanfleet
 from pyspark import cloudpickle
 
-# Python tasks carry these functions by value, so executors need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# Python tasks carry the library's functions by value, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(scanfleet)

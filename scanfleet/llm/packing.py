@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from scanfleet.llm import common
 
 CAPACITY = 2048
 #: Distinct words whose ids a task remembers at most before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -102,51 +103,87 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     return placed.unionByName(rest.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
 
 
+class _Index(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
+#: Below this code point a word is in composed form already and has plain lower-case letters.
+SIMPLE = "\u0130"
+
+
 class WordIds:
     """Token ids of texts, remembered per blank-separated word.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are its words' ids
-    in a row. The memory is bounded: it is emptied when it holds :data:`REMEMBERED` words.
+    The vocabulary drops white space, never joins across it and folds case, so a text's ids are its
+    words' ids in a row; a word of letters and a final comma or stop has the ids of both. Words of
+    simple letters skip the steps that would leave them as they are. The memory is bounded: it is
+    emptied when it holds :data:`REMEMBERED` words.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole, self.simple = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.simple.normalizer = None
+        self.simple.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, flat])
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        self.words, self.cores = _Index(), _Index()
+        self.parts = np.zeros((0, 2), np.int64)  # of each word: core, mark or -1
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self) -> None:
+        """Ids of the words asked for since the last time."""
+        core = self.cores
+        parts = [(core[w[:-1]], core[w[-1]]) if w[-1:] in (",", ".") and w[:-1].isalpha() else (core[w], -1) for w in self.words.new]
+        self.parts = np.concatenate([self.parts, np.array(parts, np.int64).reshape(-1, 2)])
+        new = core.new
+        easy = [w.isalpha() and (w.isascii() or max(w) < SIMPLE) for w in new]
+        lengths, pieces = np.zeros(len(new), np.int64), []
+        starts = np.zeros(len(new), np.int64)
+        at = len(self.flat)
+        for kind, tokenizer in ((True, self.simple), (False, self.whole)):
+            which = [i for i, e in enumerate(easy) if e == kind]
+            if not which:
+                continue
+            given = [new[i].lower() if kind else new[i] for i in which]
+            found = tokenizer.encode(given, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(which))
+            lengths[which] = sizes
+            starts[which] = at + np.cumsum(sizes) - sizes
+            at += len(ids)
+            pieces.append(ids)
+        self.flat = np.concatenate([self.flat, *pieces])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.words.new, core.new = [], []
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text and a final 0."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.index))
-        if len(self.index) + len(new) > REMEMBERED:
+        if len(self.words) > REMEMBERED:
             self.forget()
-            new = list(dict.fromkeys(w for words in split for w in words))
-        if new:
-            self.learn(new)
-        for words in split:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            out = np.zeros(total + 1, np.uint32)
-            out[:total] = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
-            yield out
+        split = [t.encode().lower().decode().replace("\n", " ").split(" ") if t else [] for t in texts]
+        words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)
+        if self.words.new:
+            self.learn()
+        parts = self.parts[words]
+        lengths = np.where(parts < 0, 0, self.lengths[parts])
+        text_ends = np.append(0, np.cumsum(lengths.sum(axis=1)))[np.cumsum([0, *map(len, split)])]
+        parts, lengths = parts.ravel(), lengths.ravel()
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.repeat(self.starts[parts] - (ends - lengths), lengths) + np.arange(total)]
+        return [np.append(flat[a:b], np.uint32(0)) for a, b in zip(text_ends[:-1], text_ends[1:], strict=True)]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
