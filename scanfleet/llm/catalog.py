@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfleet.llm import automata, columnwise, langid, packing, sharding, simhash
+from scanfleet.llm import automata, columnwise, fingerprints, langid, lm, mixing, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hierarchical_mix": mixing.op1,
     "op2_best_fit_packing": packing.op2,
     "op3_language_id": langid.op3,
+    "op4_quality_ratio": quality.op4,
+    "op5_backoff_automaton": lm.op5,
     "op6_hypergeometric_shards": sharding.op6,
+    "op7_threshold_sketch": fingerprints.op7,
     "op8_suffix_automata": automata.op8,
     "op9_simhash_components": simhash.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": mixing.oracle()}

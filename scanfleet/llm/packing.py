@@ -22,7 +22,7 @@ from scanfleet.llm import common
 
 CAPACITY = 2048
 #: Distinct words whose ids a task remembers at most before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 @dataclass(frozen=True)
