@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_threshold_sketch": fingerprints.op7,
     "op8_suffix_automata": automata.op8,
     "op9_simhash_components": simhash.op9,
+    "op10_columnwise_suffix_order": columnwise.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": mixing.oracle()}

@@ -9,19 +9,20 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanfleet.llm import common
 
-#: Documented bounds of the training sample and of the model that is sent to every task.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_WORDS, MAX_GRAMS, LONGEST = 8_000, 20_000, 40_000, 40_000, 4
+#: Documented bounds: labelled documents that are learned from (expected number, dealt by a hash of the
+#: id, whole texts), words counted per language, and entries of the model that is sent to every task.
+SAMPLE_DOCS, COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST = 8_000, 100_000, 40_000, 40_000, 4
 UNKNOWN = "und"
 #: Weights of a fallback step, of one unknown character, and words remembered per task.
 STEP, FLOOR, REMEMBERED = math.log(0.4), math.log(1e-6), 300_000
@@ -45,11 +46,12 @@ def grams_of(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-def train(rows: list[tuple[str, str]]) -> Model:
-    """Word and n-gram log-frequencies by language from (lang, text) rows."""
+def train(rows: Iterable[tuple[str, str, int]]) -> Model:
+    """Word and n-gram log-frequencies by language from (lang, word, count) rows."""
     words: dict[str, Counter[str]] = defaultdict(Counter)
-    for lang, text in rows:
-        words[lang].update(w for t in text.split() if (w := letters(t)))
+    for lang, word, count in rows:
+        if w := letters(word):
+            words[lang][w] += count
     languages = sorted(words)
     grams: dict[str, list[Counter[str]]] = {}
     for lang in languages:
@@ -117,12 +119,16 @@ class Scorer(dict):
         return self.rows[at].sum(axis=0)
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_DOCS`` labelled rows, in an order that a hash of the id deals."""
+def word_counts(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str, int]]:
+    """(lang, word, count): each language's ``COUNTED`` most frequent words in a hashed sample of the labelled rows."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = F.xxhash64(F.lit("langid"), F.col(id_col))
-    rows = rows.select(order.alias("__o"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
-    return [(r["lang"], r["text"]) for r in rows.orderBy("__o", "lang", "text").limit(SAMPLE_DOCS).collect()]
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    dealt = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)
+    words = rows.filter(dealt).select(F.col(lang_col).alias("lang"), F.explode(F.split(text_col, r"\s+")).alias("word"))
+    counts = words.groupBy("lang", "word").count()
+    most = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    kept = counts.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= COUNTED)
+    return [(r["lang"], r["word"], r["count"]) for r in kept.select("lang", "word", "count").collect()]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -157,7 +163,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 def fit(docs: DataFrame) -> Model:
     """A model from ``documents`` outside the held-out fifth."""
-    return train(sample(docs.filter(common.fold(F.col("doc_id")) != 0), "doc_id", "text", "lang"))
+    return train(word_counts(docs.filter(common.fold(F.col("doc_id")) != 0), "doc_id", "text", "lang"))
 
 
 def op3(spark: SparkSession, sf: str) -> DataFrame:

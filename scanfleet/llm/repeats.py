@@ -12,9 +12,9 @@ equal anchors wherever they stand, and a document falls into runs of windows wit
    also stand in a content of a smaller document.
 4. A join brings each run what its content got, and each document loses the units covered.
 
-An anchor that occurs more than :data:`HOT` times is dealt anew by whole windows, each with 128
-bits of hash in place of its content, which needs no index: a common passage then costs one sum per
-window and task, and the prose around it no longer meets.
+An anchor that occurs more than :data:`HOT` times goes to no index: the windows of its distinct
+contents are dealt and sorted by 128 bits of hash, so the prose around a common passage is spread
+over all tasks. Copies of a run never get that far.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def _batch(schema: str | pa.Schema, *columns: np.ndarray | pa.Array) -> pa.Recor
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("part", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64())])
 _SHARED = pa.schema([("part", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_())])
 _RUNS = pa.schema(
-    [("anchor", pa.int64()), ("content", pa.binary()), ("part", pa.int64()), ("row_key", pa.int64()), ("doc", pa.int64()), ("begin", pa.int64()), ("windows", pa.int64())]
+    [("anchor", pa.int64()), ("content", pa.binary()), ("hot", pa.bool_()), ("part", pa.int64()), ("row_key", pa.int64()), ("doc", pa.int64()), ("begin", pa.int64()), ("windows", pa.int64())]
 )
 
 
@@ -237,7 +237,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(unit: Unit, text_col: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Runs of a document group whose anchors are shared; single windows where the anchor is hot."""
+    """Runs of a document group whose anchors are shared."""
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         wanted = np.sort(shared["anchor"].to_numpy().view(np.uint64))
@@ -252,29 +252,56 @@ def _runs(unit: Unit, text_col: str) -> Callable[[pa.Table, pa.Table], pa.Table]
                 anchor, doc, begin, end = anchor[take], doc[take], begin[take], end[take]
                 if not len(anchor):
                     continue
-                common_ = _member(anchor, hot)
                 raw = text.data.tobytes()
-                plain = ~common_
-                content = [
-                    raw[a:b] for a, b in zip(text.starts[begin[plain]].tolist(), text.ends[end[plain] + WINDOW - 2].tolist(), strict=True)
-                ]
+                content = [raw[a:b] for a, b in zip(text.starts[begin].tolist(), text.ends[end + WINDOW - 2].tolist(), strict=True)]
                 if unit.words:
                     content = [b" ".join(c.split()) for c in content]
-                made = [(anchor[plain], pa.array(content, pa.binary()), doc[plain], begin[plain], end[plain] - begin[plain])]
-                if common_.any():
-                    size = (end - begin)[common_]
-                    at = np.repeat(begin[common_], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    whole = gram_hashes(text.hashes, WINDOW)[at]
-                    other = gram_hashes(_mix(text.hashes + _U(7)), WINDOW)[at]
-                    made.append((whole, pa.array(other.view("V8").tolist(), pa.binary()), np.repeat(doc[common_], size), at, np.ones(len(at), np.int64)))
-                for a, c, d, b, n in made:
-                    r = rows[d]
-                    out.append(_batch(_RUNS, a.view(np.int64), c, np.full(len(a), part), key[r], ids[r], b - text.first[d], n))
+                r = rows[doc]
+                out.append(
+                    _batch(_RUNS, anchor.view(np.int64), pa.array(content, pa.binary()), _member(anchor, hot), np.full(len(r), part), key[r], ids[r], begin - text.first[doc], end - begin)
+                )
         return pa.Table.from_batches(out, _RUNS)
 
     return run
 
 
+_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("first", pa.int64()), ("anchor", pa.int64()), ("content_hash", pa.int64()), ("at", pa.int64())])
+
+
+def _windows(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """128 bits of hash for every window of a content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, content_hash, first = (batch.column(c).to_numpy() for c in ("anchor", "content_hash", "first"))
+            for rows, text in chunks(batch.column("content"), unit):
+                size = np.diff(text.first) - WINDOW + 1
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                place, r = np.repeat(text.first[:-1], size) + at, np.repeat(rows, size)
+                w1 = gram_hashes(text.hashes, WINDOW)[place].view(np.int64)
+                w2 = gram_hashes(_mix(text.hashes + _U(7)), WINDOW)[place].view(np.int64)
+                yield _batch(_WINDOWS, w1, w2, first[r], anchor[r], content_hash[r], at)
+
+    return run
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by window and ``first``: those that do not have their window's smallest ``first``."""
+    last, least = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        w1, w2, first = (batch.column(c).to_numpy() for c in ("w1", "w2", "first"))
+        new = np.append((w1[0], w2[0]) != last, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
+        starts = np.flatnonzero(np.append(True, new[1:]))
+        smallest = first[starts]
+        if not new[0]:
+            smallest[0] = least
+        smallest = np.repeat(smallest, np.diff(np.append(starts, len(w1))))
+        last, least = (w1[-1], w2[-1]), smallest[-1]
+        yield batch.filter(pa.array(first > smallest)).select(["anchor", "content_hash", "first", "at"])
+
+
 def _member(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     if not len(sorted_):
         return np.zeros(len(x), bool)
@@ -282,7 +309,7 @@ def _member(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 
 def _indexed(index: Callable[[list[int], list[bytes], list[int]], list[list[int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by anchor go to ``index`` in whole anchors, many at a time; hashed windows pass by."""
+    """Rows sorted by anchor go to ``index`` in whole anchors, many at a time; contents without a rival pass by."""
     schema = pa.schema([("anchor", pa.int64()), ("content_hash", pa.int64()), ("first", pa.int64()), ("ranges", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +317,7 @@ def _indexed(index: Callable[[list[int], list[bytes], list[int]], list[list[int]
 
         def close(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
             anchors = [r[0] for r in rows]
-            contest = [i for i, r in enumerate(rows) if len(r[3]) > 8 and (i and anchors[i - 1] == r[0] or i + 1 < len(rows) and anchors[i + 1] == r[0])]
+            contest = [i for i, r in enumerate(rows) if (i and anchors[i - 1] == r[0]) or (i + 1 < len(rows) and anchors[i + 1] == r[0])]
             ranges: list[list[int]] = [[] for _ in rows]
             if contest:
                 for i, found in zip(contest, index([anchors[i] for i in contest], [rows[i][3] for i in contest], [rows[i][2] for i in contest]), strict=True):
@@ -355,17 +382,35 @@ def remove_repeats(
     runs = (
         keyed.groupBy("__part")
         .cogroup(shared.withColumnRenamed("part", "__part").repartition(tasks, "__part").groupBy("__part"))
-        .applyInArrow(_runs(unit, text_col), "anchor long, content binary, part long, row_key long, doc long, begin long, windows long")
+        .applyInArrow(_runs(unit, text_col), "anchor long, content binary, hot boolean, part long, row_key long, doc long, begin long, windows long")
     )
-    contents = runs.groupBy("anchor", "content").agg(F.min("doc").alias("first"))
-    decided = (
-        contents.withColumn("content_hash", F.xxhash64("content"))
+    runs = runs.withColumn("content_hash", F.xxhash64("content"))
+    contents = runs.groupBy("anchor", "content", "content_hash").agg(F.min("doc").alias("first"), F.max("hot").alias("hot"))
+    indexed = (
+        contents.filter(~F.col("hot"))
         .repartition(tasks, "anchor")
         .sortWithinPartitions("anchor", "first")
+        .select("anchor", "content", "content_hash", "first")
         .mapInArrow(_indexed(index), "anchor long, content_hash long, first long, ranges array<long>")
     )
-    runs = runs.select("anchor", F.xxhash64("content").alias("content_hash"), "part", "row_key", "doc", "begin", "windows")
-    met = runs.join(decided, ["anchor", "content_hash"]).filter((F.col("doc") > F.col("first")) | (F.size("ranges") > 0))
+    hot = contents.filter("hot").select("anchor", "content", "content_hash", "first")
+    later = (
+        hot.mapInArrow(_windows(unit), "w1 long, w2 long, first long, anchor long, content_hash long, at long")
+        .repartition(tasks, "w1", "w2")
+        .sortWithinPartitions("w1", "w2", "first")
+        .mapInArrow(_later, "anchor long, content_hash long, first long, at long")
+        .groupBy("anchor", "content_hash", "first")
+        .agg(F.flatten(F.transform(F.collect_list("at"), lambda a: F.array(a, a + 1))).alias("ranges"))
+    )
+    none = F.array().cast("array<bigint>")
+    decided = (
+        indexed.withColumn("whole", F.lit(True))
+        .unionByName(hot.select("anchor", "content_hash", "first", none.alias("ranges"), F.lit(True).alias("whole")))
+        .unionByName(later.withColumn("whole", F.lit(False)))
+    )
+    runs = runs.select("anchor", "content_hash", "part", "row_key", "doc", "begin", "windows")
+    met = runs.join(decided, ["anchor", "content_hash"])
+    met = met.filter(F.when(F.col("doc") > F.col("first"), F.col("whole")).otherwise(F.size("ranges") > 0))
     whole = F.array(F.lit(0).cast("long"), F.col("windows"))
     found = met.select(
         F.col("part").alias("__part"), "row_key", "begin",
