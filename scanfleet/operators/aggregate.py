@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from scanfleet.functions import geom, kernels
 from scanfleet.functions.keys import hilbert_key, tile_key, voxel_key
-from scanfleet.operators.ordered import latest, order_stats
+from scanfleet.operators.ordered import join_groups, latest, order_stats
 from scanfleet.operators.points import transform_points, usable_range
 
 XYZ = ("x", "y", "z")
@@ -306,7 +306,7 @@ def edge_stats(edges: DataFrame, by: Sequence[str] = ("etype",)) -> DataFrame:
     base = active.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("chi2").alias("mean"), F.max("chi2").alias("max")
     )
-    return base.join(picks, list(by))
+    return join_groups(base, picks, by)
 
 
 def timing_stats(timings: DataFrame, keep: int = 2000, span: float = 1 << 17) -> DataFrame:
@@ -315,7 +315,7 @@ def timing_stats(timings: DataFrame, keep: int = 2000, span: float = 1 << 17) ->
     n = F.col("n")
     picks = order_stats(recent, ["name"], "ms", {"median": F.floor(n * 0.5), "p95": F.floor(n * 0.95)})
     base = recent.groupBy("name").agg(F.avg("ms").alias("mean"), F.count(F.lit(1)).alias("calls"))
-    return base.join(picks, "name")
+    return join_groups(base, picks, ["name"])
 
 
 def residual_stats(residuals: DataFrame, by: Sequence[str] = ("run_id", "scan_id")) -> DataFrame:
@@ -323,7 +323,7 @@ def residual_stats(residuals: DataFrame, by: Sequence[str] = ("run_id", "scan_id
     sq = residuals.withColumn("_r2", F.col("residual") * F.col("residual"))
     picks = order_stats(sq, by, "_r2", {"median": F.floor(F.col("n") / 2)})
     base = sq.groupBy(*by).agg(F.max("_r2").alias("max"), F.count("_r2").alias("effective"))
-    return base.join(picks, list(by))
+    return join_groups(base, picks, by)
 
 
 def normal_equations(

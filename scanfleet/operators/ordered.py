@@ -1,10 +1,11 @@
 """Running values along each key's time order, split so that no key has to fit one task.
 
 A plain ``Window.partitionBy(key)`` puts a whole vehicle or run into one task, which is fine only
-while the largest key is known to be small. :func:`needs_split` measures that. When a key is too
-big, it is cut into chunks of its order column; windows run inside a chunk, one summary row per
-chunk carries the value across chunk borders, and the two are combined. A key that holds a third
-of all rows is then spread over as many tasks as it has chunks.
+where the key is bounded by what it is (the points of one scan). Any other key is cut into chunks
+of its order column; windows run inside a chunk, one summary row per chunk carries the value across
+chunk borders, and the two are combined. A key that holds a third of all rows is then spread over
+as many tasks as it has chunks. Both plans give the same rows: null keys form a group of their own,
+rows with a null order value come first, rows with NaN last. Building a plan starts no job.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from scanfleet.session import cut
 
-# Rows one key may have in a single sorted window task.
+# Rows one key may have in a single sorted window task, for operators that measure (same rows either way).
 KEY_ROWS = 2_000_000
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,25 @@ class Carry:
 _BEFORE = {"max_before": "max", "min_before": "min", "last_before": "last"}
 
 
+def group_key(by: Sequence[str]) -> Column:
+    """The key columns as one value that is never null, so that null keys meet in an equi-join."""
+    return F.struct(*by) if by else F.lit(0)
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on ``by`` in which null equals null; the key columns come from ``left``."""
+    other = right.select(group_key(by).alias("_group"), *(c for c in right.columns if c not in by))
+    return left.withColumn("_group", group_key(by)).join(other, "_group").drop("_group")
+
+
+def chunk_of(df: DataFrame, order: str, span: float) -> Column:
+    """Number of the chunk of ``order`` that a row is in; null first, NaN last."""
+    number = F.floor(F.col(order) / F.lit(span)).cast("bigint")
+    if df.schema[order].dataType.typeName() in ("double", "float"):
+        number = F.when(F.isnan(order), _LAST).otherwise(number)
+    return F.coalesce(number, F.lit(_FIRST))
+
+
 def needs_split(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
     """True when some key has more than ``limit`` rows (one counting job)."""
     most = df.groupBy(*by).count().agg(F.max("count")).first()[0]
@@ -71,38 +92,33 @@ def running(
     order: Sequence[str],
     span: float,
     carries: Sequence[Carry],
-    split: bool | None = None,
+    split: bool = True,
     settle: bool = False,
 ) -> DataFrame:
     """Add every carry to ``df``. ``span`` is the chunk width in units of ``order[0]``.
 
-    ``split`` says whether keys must be cut into chunks; by default it is measured. Callers that
-    chain several passes measure once and set ``settle`` on the later ones: the input is then
-    written once instead of being recomputed for both sides of the chunk join.
+    ``split`` is false only for keys that a task can always sort. ``settle`` writes the input of a
+    later pass once instead of recomputing it for both sides of the chunk join.
 
     Pick ``span`` so that one chunk of one key fits a task (for a 100 Hz log, an hour is 360 000
     rows). ``order`` must be a total order within ``by``.
     """
-    if split is None:
-        split = needs_split(df, by)
     if not split:
         return _whole(df, list(by), list(order), carries)
     if settle:
         df = cut(df)
     by, order = list(by), list(order)
     values = {f"_v{i}": c.value for i, c in enumerate(carries) if c.value is not None}
-    base = df.withColumns(
-        {"_chunk": F.floor(F.col(order[0]) / F.lit(span)).cast("bigint"), **values}
-    )
-    local = Window.partitionBy(*by, "_chunk").orderBy(*order)
+    base = df.withColumns({"_key": group_key(by), "_chunk": chunk_of(df, order[0], span), **values})
+    local = Window.partitionBy("_key", "_chunk").orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     onward = local.rowsBetween(0, Window.unboundedFollowing)
     after = local.rowsBetween(1, Window.unboundedFollowing)
-    chunks = Window.partitionBy(*by).orderBy("_chunk")
+    chunks = Window.partitionBy("_key").orderBy("_chunk")
     earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
     later = chunks.rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy(*by)
+    whole = Window.partitionBy("_key")
 
     own, summary, across, final = {}, [], {}, {}
     place = F.struct(*order)
@@ -139,11 +155,9 @@ def running(
         else:
             raise ValueError(f"unknown carry kind {c.kind!r}")
 
-    borders = base.groupBy(*by, "_chunk").agg(*summary)
-    borders = borders.select(*by, "_chunk", *(e.alias(n) for n, e in across.items()))
-    joined = base.select("*", *(e.alias(n) for n, e in own.items())).join(
-        borders, [*by, "_chunk"]
-    )
+    borders = base.groupBy("_key", "_chunk").agg(*summary)
+    borders = borders.select("_key", "_chunk", *(e.alias(n) for n, e in across.items()))
+    joined = base.select("*", *(e.alias(n) for n, e in own.items())).join(borders, ["_key", "_chunk"])
     keep = [c for c in df.columns if c not in final]
     return joined.select(*keep, *(e.alias(n) for n, e in final.items()))
 
@@ -165,18 +179,17 @@ def with_halo(
 
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[str], span: float, n: int) -> DataFrame:
     """The ``n`` newest rows per key, by position from the end (no single-task sort of a key)."""
-    split = needs_split(df, by)
-    if not split and n < 1000:
-        # A small top-n is limited before the shuffle.
+    if n < 1000:
+        # A small top-n is cut per task before the shuffle, however large the key.
         w = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in order))
         return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= n).drop("_pos")
-    out = running(df, by, order, span, [Carry("_pos", "count"), Carry("_all", "total")], split)
+    out = running(df, by, order, span, [Carry("_pos", "count"), Carry("_all", "total")])
     return out.filter(F.col("_pos") > F.col("_all") - n).drop("_pos", "_all")
 
 
 def order_stats(
     df: DataFrame, by: Sequence[str], value: str, picks: dict[str, Column], buckets: int = 256,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Exact order statistics per group; no group too big for a task is sorted in one.
 
@@ -185,8 +198,6 @@ def order_stats(
     counts per bucket locate each rank, and just the buckets that hold a wanted rank are ordered.
     """
     by = list(by)
-    if split is None:
-        split = needs_split(df, by)
     if not split:
         w = Window.partitionBy(*by)
         ranked = df.filter(F.col(value).isNotNull()).select(
@@ -202,7 +213,7 @@ def order_stats(
     borders = counts.groupBy(*by).agg(
         F.percentile_approx(value, grid, 10 * buckets).alias("_q"), F.sum("_c").alias("n")
     )
-    placed = counts.join(borders, by).withColumn(
+    placed = join_groups(counts, borders, by).withColumn(
         "_b", F.size(F.filter(F.array_distinct("_q"), lambda q: q < F.col(value)))
     )
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -219,8 +230,7 @@ def order_stats(
     )
     within = Window.partitionBy(*by, "_b").orderBy(value)
     hits = (
-        placed.drop("_q", "n")
-        .join(sizes, [*by, "_b"])
+        join_groups(placed.drop("_q", "n"), sizes, [*by, "_b"])
         .withColumn("_end", F.col("_start") + F.sum("_c").over(within))
         .withColumn("_hit", F.explode("_want"))
         .filter((F.col("_hit.r") < F.col("_end")) & (F.col("_hit.r") >= F.col("_end") - F.col("_c")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfleet.functions import geom
-from scanfleet.operators.ordered import Carry, needs_split, running
+from scanfleet.operators.ordered import Carry, running
 
 SCAN = ["run_id", "scan_id"]
 # Points of one scan that share a task when a scan is cut along its point index.
@@ -41,7 +41,7 @@ def velodyne_offsets(points: DataFrame) -> DataFrame:
     first = points.groupBy(*key).agg(F.min_by(yaw, "idx").alias("_fp"), F.min("idx").alias("_i0"))
     raw = (F.col("_fp") - yaw + F.when(yaw > F.col("_fp"), 360.0).otherwise(0.0)) / VELODYNE_OMEGA
     out = points.join(first, key).withColumn("_raw", raw)
-    out = running(out, key, ["idx"], SCAN_SPAN, [Carry("_prev", "last_before", F.col("_raw"))])
+    out = running(out, key, ["idx"], SCAN_SPAN, [Carry("_prev", "last_before", F.col("_raw"))], split=False)
     drop = F.when(F.col("_raw") < F.col("_prev"), F.col("idx"))
     turn = out.groupBy(*key).agg(F.min(drop).alias("_turn"))
     turned = F.coalesce(F.col("idx") >= F.col("_turn"), F.lit(False))
@@ -101,7 +101,7 @@ def normalize_livox(
     )
     zero = F.lit(0.0)
     slot = F.struct(*(F.when(used, F.col(c)).otherwise(zero).alias(c) for c in "xyz"))
-    out = running(points, SCAN, ["idx"], SCAN_SPAN, [Carry("_prev", "last_before", slot)])
+    out = running(points, SCAN, ["idx"], SCAN_SPAN, [Carry("_prev", "last_before", slot)], split=False)
     moved = [F.abs(F.col(c) - F.coalesce(F.col(f"_prev.{c}"), zero)) > step for c in "xyz"]
     far = range2() > blind * blind
     keep = moved[0] | moved[1] | (moved[2] & far) if compat else (moved[0] | moved[1] | moved[2]) & far
@@ -154,12 +154,11 @@ def split_on_rollback(
     msgs: DataFrame, by: Sequence[str], arrival: Sequence[str], ts: str, span: float
 ) -> DataFrame:
     """Start a new ``segment_id`` wherever time goes back, keeping every row."""
-    split = needs_split(msgs, by)
-    out = running(msgs, by, arrival, span, [Carry("_prev", "last_before", F.col(ts))], split)
+    out = running(msgs, by, arrival, span, [Carry("_prev", "last_before", F.col(ts))])
     back = F.when(F.col(ts) < F.col("_prev"), 1).otherwise(0).cast("bigint")
     out = out.withColumn("_back", back).drop("_prev")
     total = [Carry("segment_id", "sum", F.col("_back"))]
-    return running(out, by, arrival, span, total, split, settle=True).drop("_back")
+    return running(out, by, arrival, span, total).drop("_back")
 
 
 def transform_points(

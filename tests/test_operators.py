@@ -33,6 +33,35 @@ def test_split_windows_equal_plain_windows(series):
     pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
 
 
+def test_split_windows_keep_null_keys_and_times(spark):
+    rng = np.random.default_rng(8)
+    rows = [
+        (None if i % 7 == 0 else int(rng.integers(0, 3)), None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i // 2), i, int(v) if v % 3 else None)
+        for i, v in enumerate(rng.integers(0, 50, 300))
+    ]
+    df = spark.createDataFrame(rows, "k long, t double, i long, v long")
+    kinds = ["count", "total", "sum", "max_before", "min_before", "last", "last_before", "next", "next_after"]
+    carries = [Carry(f"c_{k}", k, None if k in ("count", "total") else F.col("v")) for k in kinds]
+    plans = [ordered.running(df, ["k"], ["t", "i"], 40, carries, split=s).toPandas().sort_values("i").reset_index(drop=True) for s in (False, True)]
+    assert len(plans[1]) == len(rows)
+    pd.testing.assert_frame_equal(plans[0], plans[1][plans[0].columns], check_dtype=False)
+
+
+def test_order_stats_keep_the_null_group(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), (None, 2), (1, 9), (1, None)], "k long, v long")
+    for split in (True, False):
+        got = {r.k: r.med for r in ordered.order_stats(df, ["k"], "v", {"med": F.floor(F.col("n") / 2)}, 16, split=split).collect()}
+        assert got == {None: 2, 1: 9}
+
+
+def test_building_a_running_plan_starts_no_job(spark):
+    seen = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("plan", "plan only")
+    windows.path_length(spark.range(9).selectExpr("id as run_id", "id as t", "0D as tx", "0D as ty", "0D as tz"), ["run_id"], ["t"], 10.0)
+    assert not seen("plan")
+    spark.sparkContext.setJobGroup("other", "other")
+
+
 def test_order_stats_split_equals_sort(series):
     picks = {"med": F.floor(F.col("n") / 2), "hi": F.floor(F.col("n") * 0.9)}
     got = {r.k: (r.med, r.hi) for r in ordered.order_stats(series, ["k"], "v", picks, 16, split=True).collect()}
