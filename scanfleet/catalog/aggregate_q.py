@@ -80,7 +80,34 @@ def _(spark, sf):
     return df.select(*PID, keys.spatial_hash(*v[:2]).alias("h2"), keys.spatial_hash(*v).alias("h3"))
 
 
-@register("v5k_hilbert_key")
+def hilbert_sql(columns: str, order: int, leaf: int) -> str:
+    """CTEs that end in ``h`` with ``columns`` and ``hilbert``: one step per bit and axis of the transposed index."""
+    top, side = (1 << order) - 1, leaf / (1 << order)
+    sub = [f"greatest(0, least({top}, CAST(trunc(({c}_mm - (round({c}_mm/{leaf}e0)*{leaf} - {leaf / 2}e0))/{side}e0) AS BIGINT))) AS a{i}" for i, c in enumerate("xyz")]
+    steps, n = [f"h0 AS MATERIALIZED (SELECT {columns}, {', '.join(sub)} FROM points)"], 0
+
+    def step(a0: str, a1: str, a2: str, more: str = "") -> None:
+        nonlocal n
+        steps.append(f"h{n + 1} AS (SELECT {columns}, {a0} AS a0, {a1} AS a1, {a2} AS a2{more} FROM h{n})")
+        n += 1
+
+    for b in range(order - 1, 0, -1):
+        bit, low = 1 << b, (1 << b) - 1
+        for i in range(3):
+            swap = f"(xor(a0, a{i}) & {low})"
+            first = f"CASE WHEN a{i} & {bit} <> 0 THEN xor(a0, {low}) ELSE xor(a0, {swap}) END"
+            rest = [f"CASE WHEN a{i} & {bit} <> 0 THEN a{j} ELSE xor(a{j}, {swap}) END" if j == i else f"a{j}" for j in (1, 2)]
+            step(first, *rest)
+    step("a0", "xor(a1, a0)", "xor(a2, xor(a1, a0))")
+    flip = "0"
+    for b in range(order - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN a2 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    step(*(f"xor(a{i}, {flip})" for i in range(3)))
+    bits = " + ".join(f"((a{i} >> {b}) & 1) * {1 << (3 * b + 2 - i)}" for b in range(order) for i in range(3))
+    return f"WITH {', '.join(steps)}, h AS (SELECT {columns}, CAST({bits} AS BIGINT) AS hilbert FROM h{n})"
+
+
+@register("v5k_hilbert_key", hilbert_sql("run_id, scan_id, idx", 6, 500) + " SELECT run_id, scan_id, idx, hilbert FROM h")
 def _(spark, sf):
     return keys.hilbert_key(view(spark, sf, "points"), 500, 6).select(*PID, "hilbert")
 
@@ -285,9 +312,15 @@ def _(spark, sf):
     return A.best_candidate(res, ["vehicle_id"], "score", "seq")
 
 
-@register("a18_subcube_centroids")
+@register(
+    "a18_subcube_centroids",
+    hilbert_sql("x_mm, y_mm, z_mm", 4, 500)
+    + f""" SELECT vx, vy, vz, hilbert, {q6("avg(x_mm)")} AS x, {q6("avg(y_mm)")} AS y, {q6("avg(z_mm)")} AS z, count(*) AS n
+    FROM (SELECT *, {", ".join(f"CAST(round({c}_mm/500e0) AS BIGINT) AS v{c}" for c in "xyz")} FROM h) GROUP BY vx, vy, vz, hilbert""",
+)
 def _(spark, sf):
-    return A.subcube_centroids(view(spark, sf, "points"), 500, 4)
+    out = A.subcube_centroids(view(spark, sf, "points"), 500, 4)
+    return out.select("vx", "vy", "vz", "hilbert", *(r6(c).alias(c) for c in "xyz"), "n")
 
 
 @register(

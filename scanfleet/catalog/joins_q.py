@@ -332,15 +332,15 @@ def _(spark, sf):
     return T.admit_points(pts, five_nearest(pts), ["scan_id", "idx"], 500.0, 1.0).select("scan_id", "idx")
 
 
-@register(
-    "j19_global_map",
-    f"""WITH t AS (SELECT run_id, kf_id, avg(x_mm) AS x, avg(y_mm) AS y, avg(z_mm) AS z FROM kf_points GROUP BY run_id, kf_id, floor(x_mm/1000e0), floor(y_mm/1000e0), floor(z_mm/1000e0)),
+GLOBAL_MAP = f"""WITH t AS (SELECT run_id, kf_id, avg(x_mm) AS x, avg(y_mm) AS y, avg(z_mm) AS z FROM kf_points GROUP BY run_id, kf_id, floor(x_mm/1000e0), floor(y_mm/1000e0), floor(z_mm/1000e0)),
       k AS (SELECT run_id, kf_id, x_mm, y_mm, z_mm, sqrt((1 + r00)/2e0) AS qw, sqrt((1 - r00)/2e0)*CASE WHEN r10 < 0 THEN -1e0 ELSE 1e0 END AS qz FROM keyframes),
       u AS (SELECT t.run_id, t.x, t.y, t.z, x_mm, y_mm, z_mm, qw, qz, (0e0*z - qz*y)*2e0 AS ux, (qz*x - 0e0*z)*2e0 AS uy FROM t JOIN k ON t.run_id = k.run_id AND t.kf_id = k.kf_id),
       w AS (SELECT run_id, x + ux*qw + (0e0 - qz*uy) + x_mm AS x, y + uy*qw + (qz*ux - 0e0) + y_mm AS y, z + z_mm AS z FROM u)
     SELECT run_id, vx, vy, vz, {q6("avg(x)/1000e0 + 1e-8")} AS x, {q6("avg(y)/1000e0 + 1e-8")} AS y, {q6("avg(z)/1000e0 + 1e-8")} AS z, count(*) AS n
-    FROM (SELECT *, CAST(floor(x/1000e0) AS BIGINT) AS vx, CAST(floor(y/1000e0) AS BIGINT) AS vy, CAST(floor(z/1000e0) AS BIGINT) AS vz FROM w) GROUP BY run_id, vx, vy, vz""",
-)
+    FROM (SELECT *, CAST(floor(x/1000e0) AS BIGINT) AS vx, CAST(floor(y/1000e0) AS BIGINT) AS vy, CAST(floor(z/1000e0) AS BIGINT) AS vz FROM w) GROUP BY run_id, vx, vy, vz"""
+
+
+@register("j19_global_map", GLOBAL_MAP)
 def _(spark, sf):
     out = J.global_map(view(spark, sf, "kf_points"), keyframe_poses(spark, sf, metres=False), 1000)
     return out.select("run_id", *V, *(r6(F.col(c) / 1000.0 + 1e-8).alias(c) for c in "xyz"), "n")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scanfleet import fixtures
+from scanfleet.catalog.joins_q import GLOBAL_MAP, V
 from scanfleet.catalog.registry import keyframe_poses, q6, r6, register, view
 from scanfleet.functions import geom
 from scanfleet.operators import joins as J
@@ -166,10 +167,11 @@ def _(spark, sf):
     )
 
 
-@register("s13_export_global_map")
+@register("s13_export_global_map", GLOBAL_MAP)
 def _(spark, sf):
     path = exports.export_global_map(view(spark, sf, "kf_points"), keyframe_poses(spark, sf, metres=False), 1000, scratch_path(spark, "global"))
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("bigint"))
+    return out.select("run_id", *V, *(r6(F.col(c) / 1000.0 + 1e-8).alias(c) for c in "xyz"), "n")
 
 
 @register(

@@ -154,23 +154,72 @@ def _(spark, sf):
     return W.trajectory_decimate(keyframe_poses(spark, sf), ["run_id"], ["kf_id"], 4096, 200).select("run_id", "kf_id")
 
 
-@register("w4_mean_scan_time")
+def walked(rows: str, key: str, start: str, step: str) -> str:
+    """Recursive DuckDB text: ``s`` walks the numbered ``rows`` of a key; ``start`` and ``step`` select its columns."""
+    return f"""WITH RECURSIVE r AS MATERIALIZED ({rows}),
+      s AS (SELECT r.{key}, r.k, {start} FROM r WHERE r.k = 1
+        UNION ALL SELECT r.{key}, r.k, {step} FROM s JOIN r ON r.{key} = s.{key} AND r.k = s.k + 1)"""
+
+
+_USED = "(r.n_points > 1 AND r.len >= 0.5e0 * {0})"
+
+
+@register(
+    "w4_mean_scan_time",
+    walked(
+        "SELECT run_id, scan_id, n_points, t_begin_ms/1000e0 AS t, (t_end_ms - t_begin_ms)/1000e0 AS len, row_number() OVER (PARTITION BY run_id ORDER BY scan_id) AS k FROM scans",
+        "run_id",
+        f"""r.scan_id, CASE WHEN {_USED.format("0.1e0")} THEN 1 ELSE 0 END AS n, CASE WHEN {_USED.format("0.1e0")} THEN 0.1e0 + (r.len - 0.1e0)/1 ELSE 0.1e0 END AS mean,
+          CASE WHEN {_USED.format("0.1e0")} THEN r.t + r.len ELSE r.t + 0.1e0 END AS t_end""",
+        f"""r.scan_id, CASE WHEN {_USED.format("s.mean")} THEN s.n + 1 ELSE s.n END, CASE WHEN {_USED.format("s.mean")} THEN s.mean + (r.len - s.mean)/(s.n + 1) ELSE s.mean END,
+          CASE WHEN {_USED.format("s.mean")} THEN r.t + r.len ELSE r.t + s.mean END""",
+    )
+    + f" SELECT run_id, scan_id, {q6('t_end')} AS t_end, {q6('mean')} AS mean_length FROM s",
+)
 def _(spark, sf):
     scans = fixtures.view(spark, sf, "scans").select(
         "run_id", "scan_id", (F.col("t_begin_ms") / 1000.0).alias("t"), "n_points", ((F.col("t_end_ms") - F.col("t_begin_ms")) / 1000.0).alias("length")
     )
-    return W.mean_scan_time(scans, ["run_id"], "scan_id")
+    out = W.mean_scan_time(scans, ["run_id"], "scan_id")
+    return out.select("run_id", "scan_id", r6("t_end").alias("t_end"), r6("mean_length").alias("mean_length"))
+
+
+_FAR = """(sqrt((r.x - s.x)*(r.x - s.x) + (r.y - s.y)*(r.y - s.y) + (r.z - s.z)*(r.z - s.z)) > 3e0
+          OR 2e0 * acos(least(1e0, abs(r.qw*s.qw + r.qz*s.qz))) > radians(15e0))"""
 
 
-@register("w5_select_keyframes")
+@register(
+    "w5_select_keyframes",
+    walked(
+        """SELECT run_id, kf_id, x_mm/1000e0 AS x, y_mm/1000e0 AS y, z_mm/1000e0 AS z, sqrt((1 + r00)/2e0) AS qw,
+          sqrt((1 - r00)/2e0)*CASE WHEN r10 < 0 THEN -1e0 ELSE 1e0 END AS qz, row_number() OVER (PARTITION BY run_id ORDER BY t_ms) AS k FROM keyframes""",
+        "run_id",
+        "r.kf_id, true AS take, r.x, r.y, r.z, r.qw, r.qz",
+        f"r.kf_id, {_FAR}, " + ", ".join(f"CASE WHEN {_FAR} THEN r.{c} ELSE s.{c} END" for c in ("x", "y", "z", "qw", "qz")),
+    )
+    + " SELECT run_id, kf_id FROM s WHERE take",
+)
 def _(spark, sf):
     return W.select_keyframes(keyframe_poses(spark, sf), ["run_id"], "t_ms", 3.0, 15.0).select("run_id", "kf_id")
 
 
-@register("w14_pick_update_frames")
+_DUE = "(r.ok AND r.score > 0.1e0 AND (s.t IS NULL OR sqrt((r.x - s.x)*(r.x - s.x) + (r.y - s.y)*(r.y - s.y)) > 0.5e0 OR abs(r.t - s.t) > 36000e0))"
+
+
+@register(
+    "w14_pick_update_frames",
+    walked(
+        """SELECT vehicle_id, seq, t_us/1e6 AS t, x_mm/1000e0 AS x, y_mm/1000e0 AS y, score, ok,
+          row_number() OVER (PARTITION BY vehicle_id ORDER BY t_us, seq) AS k FROM loc_results""",
+        "vehicle_id",
+        "r.seq, r.ok AND r.score > 0.1e0 AS take, " + ", ".join(f"CASE WHEN r.ok AND r.score > 0.1e0 THEN r.{c} END AS {c}" for c in "txy"),
+        f"r.seq, {_DUE}, " + ", ".join(f"CASE WHEN {_DUE} THEN r.{c} ELSE s.{c} END" for c in "txy"),
+    )
+    + " SELECT vehicle_id, seq FROM s WHERE take",
+)
 def _(spark, sf):
     res = results(spark, sf).select("vehicle_id", "seq", (F.col("t_us") / 1e6).alias("t"), (F.col("x_mm") / 1000.0).alias("x"), (F.col("y_mm") / 1000.0).alias("y"), F.lit(0.0).alias("z"), "score", "ok")
-    return W.pick_update_frames(res, VEH, "t", 0.5, 36000.0, 0.1).select("vehicle_id", "seq")
+    return W.pick_update_frames(res, VEH, "t", 0.5, 36000.0, 0.1, ["seq"]).select("vehicle_id", "seq")
 
 
 @register(

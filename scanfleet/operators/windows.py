@@ -293,10 +293,10 @@ def select_keyframes(
 
 def pick_update_frames(
     results: DataFrame, by: Sequence[str], t: str, distance: float = 2.0, max_gap: float = 10.0,
-    min_score: float = 1.0,
+    min_score: float = 1.0, ties: Sequence[str] = (),
 ) -> DataFrame:
     """Frames that update the dynamic layer: moved or waited enough since the last update, with a
-    good score. Uses columns ``t, x, y, z, score, ok``."""
+    good score. Uses columns ``t, x, y, z, score, ok``; equal times go by ``ties``."""
 
     def step(last, row):
         now = np.asarray(row[:4], dtype=float)
@@ -304,7 +304,7 @@ def pick_update_frames(
         take = bool(row[5]) and due and float(row[4]) > min_score
         return (now if take else last), (bool(take),)
 
-    out = ordered_fold(results, by, [t], [t, "x", "y", "z", "score", "ok"], lambda: None, step, "_take boolean")
+    out = ordered_fold(results, by, [t, *ties], [t, "x", "y", "z", "score", "ok"], lambda: None, step, "_take boolean")
     return out.filter("_take").drop("_take")
 
 
