@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
 
 
+def _own_folder() -> str:
+    """A scratch folder of this process, removed when it ends; only a local master may use one."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def local_session(cpus: str = "8", name: str = "scanfleet", partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     return (
@@ -20,6 +28,7 @@ def local_session(cpus: str = "8", name: str = "scanfleet", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config(_DIR_KEY, _own_folder())
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,15 +38,15 @@ def local_session(cpus: str = "8", name: str = "scanfleet", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder; on a cluster a machine-local
-    folder would be lost with its executor, so a missing setting is an error there.
+    Where it is unset, only a local master may take a temporary folder; on a cluster a
+    machine-local folder would be lost with its executor, so a missing setting is an error there.
     """
     conf = spark.sparkContext.getConf().get(_DIR_KEY, None) or spark.conf.get(_DIR_KEY, None)
     if conf:
         return conf
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_DIR_KEY} to a shared folder")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = _own_folder()
     spark.conf.set(_DIR_KEY, folder)
     return folder
 
@@ -54,13 +63,3 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; the check behind every broadcast hint."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
-
-
-def hint_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint when its size is proven small, else unchanged (shuffle join)."""
-    return F.broadcast(df) if has_at_most(df, rows) else df
