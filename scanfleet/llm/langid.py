@@ -22,7 +22,7 @@ from scanfleet.llm import common
 
 #: Documented bounds: labelled documents that are learned from (expected number, dealt by a hash of the
 #: id, whole texts), words counted per language, and entries of the model that is sent to every task.
-SAMPLE_DOCS, COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST = 8_000, 100_000, 40_000, 40_000, 4
+SAMPLE_DOCS, COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST = 8_000, 30_000, 40_000, 40_000, 4
 UNKNOWN = "und"
 #: Weights of a fallback step, of one unknown character, and words remembered per task.
 STEP, FLOOR, REMEMBERED = math.log(0.4), math.log(1e-6), 300_000

@@ -14,7 +14,7 @@ from scanfleet.llm import common
 from scanfleet.llm.fingerprints import words_of
 
 #: Buckets of words and as many of pairs; prior count of a bucket; trusted documents at most; least mean log-ratio to keep.
-BUCKETS, PRIOR, TRUSTED, THRESHOLD = 1 << 13, 1.0, 20_000, -0.5
+BUCKETS, PRIOR, TRUSTED, THRESHOLD = 1 << 13, 1.0, 20_000, -0.1
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
