@@ -44,17 +44,17 @@ def _(spark, sf):
     return out.groupBy(*PID).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("total"))
 
 
-MAP_SQL = f"""m AS (SELECT * FROM (SELECT scan_id*100000 + idx AS map_id, x_mm AS nx, y_mm AS ny, z_mm AS nz, {", ".join(f"{RK.format(c)} AS v{c}" for c in "xyz")},
+MAP_SQL = f"""m AS MATERIALIZED (SELECT * FROM (SELECT scan_id*100000 + idx AS map_id, x_mm AS nx, y_mm AS ny, z_mm AS nz, {", ".join(f"{RK.format(c)} AS v{c}" for c in "xyz")},
       row_number() OVER (PARTITION BY {", ".join(RK.format(c) for c in "xyz")} ORDER BY scan_id DESC, idx DESC) AS r FROM points) WHERE r <= 9)"""
 
 
 def knn_sql(k: int, reach: int = 2) -> str:
     """CTEs: retained map ``m`` and the k nearest neighbours ``n`` of every point."""
     return f"""{MAP_SQL},
-      o AS (SELECT i, j, k FROM (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j), (SELECT unnest([-1,0,1]) AS k) WHERE abs(i)+abs(j)+abs(k) <= {reach}),
+      o AS MATERIALIZED (SELECT i, j, k FROM (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j), (SELECT unnest([-1,0,1]) AS k) WHERE abs(i)+abs(j)+abs(k) <= {reach}),
       q AS (SELECT scan_id, idx, x_mm, y_mm, z_mm, {", ".join(f"{RK.format(c)} + {o} AS v{c}" for c, o in zip("xyz", "ijk"))} FROM points, o),
       d AS (SELECT scan_id, idx, map_id, nx, ny, nz, (nx-x_mm)*(nx-x_mm) + (ny-y_mm)*(ny-y_mm) + (nz-z_mm)*(nz-z_mm) AS d2 FROM q JOIN m USING (vx, vy, vz)),
-      n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, idx ORDER BY d2, map_id) AS rank FROM d WHERE d2 < 25000000) WHERE rank <= {k})"""
+      n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, idx ORDER BY d2, map_id) AS rank FROM d WHERE d2 < 25000000) WHERE rank <= {k})"""
 
 
 def recent_map(pts):
@@ -71,10 +71,10 @@ def _(spark, sf):
     return five_nearest(view(spark, sf, "points")).select("scan_id", "idx", "map_id", "d2", "rank")
 
 
-@register("j4_nearest", f"WITH {knn_sql(1, 0)} SELECT scan_id, idx, map_id, d2 FROM points LEFT JOIN n USING (scan_id, idx)")
+@register("j4_nearest", f"WITH {knn_sql(1)} SELECT scan_id, idx, map_id, d2 FROM points LEFT JOIN n USING (scan_id, idx)")
 def _(spark, sf):
     pts = view(spark, sf, "points")
-    return J.nearest(pts, recent_map(pts), ["scan_id", "idx"], "map_id", 5000, 500, 1).select("scan_id", "idx", "map_id", "d2")
+    return J.nearest(pts, recent_map(pts), ["scan_id", "idx"], "map_id", 5000, 500, 19).select("scan_id", "idx", "map_id", "d2")
 
 
 @register(
