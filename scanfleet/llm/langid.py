@@ -14,15 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanfleet.llm import common
 
 #: Documented bounds: labelled documents that are learned from (expected number, dealt by a hash of the
-#: id, whole texts), words counted per language, and entries of the model that is sent to every task.
-SAMPLE_DOCS, COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST = 8_000, 30_000, 40_000, 40_000, 4
+#: id, whole texts), words that are counted, and entries of the model that is sent to every task.
+SAMPLE_DOCS, COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST = 8_000, 120_000, 40_000, 40_000, 4
 UNKNOWN = "und"
 #: Weights of a fallback step, of one unknown character, and words remembered per task.
 STEP, FLOOR, REMEMBERED = math.log(0.4), math.log(1e-6), 300_000
@@ -120,15 +120,15 @@ class Scorer(dict):
 
 
 def word_counts(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str, int]]:
-    """(lang, word, count): each language's ``COUNTED`` most frequent words in a hashed sample of the labelled rows."""
+    """(lang, word, count) of a hashed sample of the labelled rows: the ``COUNTED`` words with the largest shares of their language."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
     dealt = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)
     words = rows.filter(dealt).select(F.col(lang_col).alias("lang"), F.explode(F.split(text_col, r"\s+")).alias("word"))
     counts = words.groupBy("lang", "word").count()
-    most = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    kept = counts.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= COUNTED)
-    return [(r["lang"], r["word"], r["count"]) for r in kept.select("lang", "word", "count").collect()]
+    totals = counts.groupBy("lang").agg(F.sum("count").alias("total"))
+    shares = counts.join(totals, "lang").orderBy(F.desc(F.col("count") / F.col("total")), "lang", "word")
+    return [(r["lang"], r["word"], r["count"]) for r in shares.select("lang", "word", "count").limit(COUNTED).collect()]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
