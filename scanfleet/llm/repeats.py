@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 from scanfleet.llm import common
 
 WINDOW = 50
-#: Windows in one run at most; occurrences from which an anchor is dealt by whole windows; text bytes of a document group.
-RUN, HOT, GROUP_BYTES = 64, 1000, 8 << 20
+#: Windows in one run at most; occurrences from which an anchor is dealt by whole windows; tasks that
+#: share a hot anchor's contents; text bytes of a document group.
+RUN, HOT, SALTS, GROUP_BYTES = 64, 1000, 64, 8 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -116,7 +117,8 @@ class Unit:
     words: bool
 
 
-WORDS, BYTES = Unit(word_units, 8, True), Unit(byte_units, 16, False)
+#: Grams long enough that unrelated prose hardly shares one, and well below the window.
+WORDS, BYTES = Unit(word_units, 8, True), Unit(byte_units, 20, False)
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -137,7 +139,8 @@ def runs_of(text: Text, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if n < WINDOW:
         return none.astype(np.uint64), none, none, none
-    anchor = sliding_min(gram_hashes(text.hashes, unit.gram), WINDOW - unit.gram + 1)
+    # 48 bits: two grams that fall together only share an index.
+    anchor = sliding_min(gram_hashes(text.hashes, unit.gram) >> _U(16), WINDOW - unit.gram + 1)
     count = len(anchor)
     long = np.flatnonzero(np.diff(first) >= WINDOW)
     opens, closes = first[long], first[long + 1] - WINDOW + 1
@@ -177,7 +180,8 @@ def _batch(schema: str | pa.Schema, *columns: np.ndarray | pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
 
 
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("part", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64())])
+#: ``part`` also holds the occurrences beyond the first (from bit 32); ``above`` is the largest document minus the smallest.
+_ANCHORS = pa.schema([("anchor", pa.int64()), ("part", pa.int64()), ("lo", pa.int64()), ("above", pa.int64())])
 _SHARED = pa.schema([("part", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_())])
 _RUNS = pa.schema(
     [("anchor", pa.int64()), ("content", pa.binary()), ("hot", pa.bool_()), ("part", pa.int64()), ("row_key", pa.int64()), ("doc", pa.int64()), ("begin", pa.int64()), ("windows", pa.int64())]
@@ -204,10 +208,9 @@ def _anchors(unit: Unit, text_col: str) -> Callable[[Iterator[pa.RecordBatch]],
             anchor, doc = anchor[order], doc[order]
             home = part[doc]
             new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (home[1:] != home[:-1])))
-            yield _batch(
-                _ANCHORS, anchor[new].view(np.int64), home[new], np.minimum.reduceat(ids[doc], new),
-                np.maximum.reduceat(ids[doc], new), np.diff(np.append(new, len(anchor))),
-            )
+            low, high = np.minimum.reduceat(ids[doc], new), np.maximum.reduceat(ids[doc], new)
+            extra = np.diff(np.append(new, len(anchor))) - 1
+            yield _batch(_ANCHORS, anchor[new].view(np.int64), home[new] + (extra << 32), low, high - low)
 
     return run
 
@@ -218,12 +221,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def decide(table: np.ndarray) -> pa.RecordBatch:
         new = np.flatnonzero(np.append(True, table[1:, 0] != table[:-1, 0]))
         size = np.diff(np.append(new, len(table)))
-        shared = np.minimum.reduceat(table[:, 2], new) < np.maximum.reduceat(table[:, 3], new)
-        hot = np.add.reduceat(table[:, 4], new) > HOT
+        shared = np.minimum.reduceat(table[:, 2], new) < np.maximum.reduceat(table[:, 2] + table[:, 3], new)
+        hot = np.add.reduceat((table[:, 1] >> 32) + 1, new) > HOT
         take = np.repeat(shared, size)
-        return _batch(_SHARED, table[take, 1], table[take, 0], np.repeat(hot, size)[take])
+        return _batch(_SHARED, table[take, 1] & 0xFFFFFFFF, table[take, 0], np.repeat(hot, size)[take])
 
-    carry = np.zeros((0, 5), np.int64)
+    carry = np.zeros((0, 4), np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -273,6 +276,9 @@ def _windows(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("hot"))
+            if not batch.num_rows:
+                continue
             anchor, content_hash, first = (batch.column(c).to_numpy() for c in ("anchor", "content_hash", "first"))
             for rows, text in chunks(batch.column("content"), unit):
                 size = np.diff(text.first) - WINDOW + 1
@@ -309,15 +315,15 @@ def _member(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 
 def _indexed(index: Callable[[list[int], list[bytes], list[int]], list[list[int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by anchor go to ``index`` in whole anchors, many at a time; contents without a rival pass by."""
+    """Rows sorted by anchor go to ``index`` in whole anchors, many at a time; contents without a rival and hot ones pass by."""
     schema = pa.schema([("anchor", pa.int64()), ("content_hash", pa.int64()), ("first", pa.int64()), ("ranges", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes, bool]] = []
 
-        def close(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        def close(rows: list[tuple[int, int, int, bytes, bool]]) -> pa.RecordBatch:
             anchors = [r[0] for r in rows]
-            contest = [i for i, r in enumerate(rows) if (i and anchors[i - 1] == r[0]) or (i + 1 < len(rows) and anchors[i + 1] == r[0])]
+            contest = [i for i, r in enumerate(rows) if not r[4] and ((i and anchors[i - 1] == r[0]) or (i + 1 < len(rows) and anchors[i + 1] == r[0]))]
             ranges: list[list[int]] = [[] for _ in rows]
             if contest:
                 for i, found in zip(contest, index([anchors[i] for i in contest], [rows[i][3] for i in contest], [rows[i][2] for i in contest]), strict=True):
@@ -325,9 +331,9 @@ def _indexed(index: Callable[[list[int], list[bytes], list[int]], list[list[int]
             return _batch(schema, pa.array(anchors), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array(ranges, pa.list_(pa.int64())))
 
         for batch in batches:
-            held += zip(*[batch.column(c).to_pylist() for c in ("anchor", "content_hash", "first", "content")], strict=True)
+            held += zip(*[batch.column(c).to_pylist() for c in ("anchor", "content_hash", "first", "content", "hot")], strict=True)
             if len(held) >= 20_000:
-                last = held[-1][0]
+                last = None if held[-1][4] else held[-1][0]  # hot contents need not stay together
                 end = len(held)
                 while end and held[end - 1][0] == last:
                     end -= 1
@@ -374,7 +380,7 @@ def remove_repeats(
     groups = max(4 * tasks, math.ceil(size / GROUP_BYTES))
     keyed = rows.withColumns({"__doc": F.col(id_col).cast("long"), "__key": key, "__part": F.pmod(key, F.lit(groups))}).repartition(tasks, "__part")
     shared = (
-        keyed.mapInArrow(_anchors(unit, text_col), "anchor long, part long, lo long, hi long, n long")
+        keyed.mapInArrow(_anchors(unit, text_col), "anchor long, part long, lo long, above long")
         .repartition(tasks, "anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(_shared, "part long, anchor long, hot boolean")
@@ -386,28 +392,19 @@ def remove_repeats(
     )
     runs = runs.withColumn("content_hash", F.xxhash64("content"))
     contents = runs.groupBy("anchor", "content", "content_hash").agg(F.min("doc").alias("first"), F.max("hot").alias("hot"))
-    indexed = (
-        contents.filter(~F.col("hot"))
-        .repartition(tasks, "anchor")
-        .sortWithinPartitions("anchor", "first")
-        .select("anchor", "content", "content_hash", "first")
-        .mapInArrow(_indexed(index), "anchor long, content_hash long, first long, ranges array<long>")
-    )
-    hot = contents.filter("hot").select("anchor", "content", "content_hash", "first")
+    # Both readers take every column of the same exchange, so it is made once. A hot anchor's contents need no company.
+    salt = F.when(F.col("hot"), F.pmod("content_hash", F.lit(SALTS))).otherwise(0)
+    dealt = contents.withColumn("salt", salt).repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "first")
+    indexed = dealt.mapInArrow(_indexed(index), "anchor long, content_hash long, first long, ranges array<long>")
     later = (
-        hot.mapInArrow(_windows(unit), "w1 long, w2 long, first long, anchor long, content_hash long, at long")
+        dealt.mapInArrow(_windows(unit), "w1 long, w2 long, first long, anchor long, content_hash long, at long")
         .repartition(tasks, "w1", "w2")
         .sortWithinPartitions("w1", "w2", "first")
         .mapInArrow(_later, "anchor long, content_hash long, first long, at long")
         .groupBy("anchor", "content_hash", "first")
         .agg(F.flatten(F.transform(F.collect_list("at"), lambda a: F.array(a, a + 1))).alias("ranges"))
     )
-    none = F.array().cast("array<bigint>")
-    decided = (
-        indexed.withColumn("whole", F.lit(True))
-        .unionByName(hot.select("anchor", "content_hash", "first", none.alias("ranges"), F.lit(True).alias("whole")))
-        .unionByName(later.withColumn("whole", F.lit(False)))
-    )
+    decided = indexed.withColumn("whole", F.lit(True)).unionByName(later.withColumn("whole", F.lit(False)))
     runs = runs.select("anchor", "content_hash", "part", "row_key", "doc", "begin", "windows")
     met = runs.join(decided, ["anchor", "content_hash"])
     met = met.filter(F.when(F.col("doc") > F.col("first"), F.col("whole")).otherwise(F.size("ranges") > 0))
