@@ -6,10 +6,10 @@ equal anchors wherever they stand, and a document falls into runs of windows wit
 
 1. Every task lists the anchors of its documents (a few per window length). One shuffle tells which
    anchors two different documents have, and how often they occur.
-2. Documents with such anchors hand out those runs: anchor and content. Equal contents meet in a
-   sum with map-side combine that keeps the smallest document, so thousands of copies weigh as one.
-3. The distinct contents of one anchor, a bounded number, go to one index, which finds windows that
-   also stand in a content of a smaller document.
+2. Documents with such anchors hand out those runs: anchor and content. A group of documents hands
+   out equal contents once, with the smallest document, so thousands of copies weigh as one a group.
+3. The contents of one anchor, a bounded number, go to one index, which finds windows that also
+   stand in a content of a smaller document.
 4. A join brings each run what its content got, and each document loses the units covered.
 
 An anchor that occurs more than :data:`HOT` times goes to no index: the windows of its distinct
@@ -239,6 +239,25 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield decide(carry)
 
 
+_CONTENTS = pa.schema([("anchor", pa.int64()), ("content", pa.binary()), ("hot", pa.bool_()), ("first", pa.int64())])
+
+
+def _contents(unit: Unit, text_col: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The distinct contents among the runs of a document group, with the smallest document of each."""
+    runs = _runs(unit, text_col)
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        seen: dict[tuple[int, bytes], list] = {}
+        for batch in runs(docs, shared).to_batches():
+            for a, c, hot, d in zip(*[batch.column(k).to_pylist() for k in ("anchor", "content", "hot", "doc")], strict=True):
+                if (known := seen.setdefault((a, c), [d, hot]))[0] > d:
+                    known[0] = d
+        columns = [[k[0] for k in seen], [k[1] for k in seen], [v[1] for v in seen.values()], [v[0] for v in seen.values()]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTENTS, strict=True)], schema=_CONTENTS)
+
+    return run
+
+
 def _runs(unit: Unit, text_col: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Runs of a document group whose anchors are shared."""
 
@@ -275,8 +294,15 @@ def _windows(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """128 bits of hash for every window of a content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             batch = batch.filter(batch.column("hot"))
+            if not batch.num_rows:
+                continue
+            a, h = batch.column("anchor").to_numpy(), batch.column("content_hash").to_numpy()
+            new = np.append((a[0], h[0]) != last, (a[1:] != a[:-1]) | (h[1:] != h[:-1]))
+            last = (a[-1], h[-1])
+            batch = batch.filter(pa.array(new))  # the first of equal contents has the smallest document
             if not batch.num_rows:
                 continue
             anchor, content_hash, first = (batch.column(c).to_numpy() for c in ("anchor", "content_hash", "first"))
@@ -320,8 +346,10 @@ def _indexed(index: Callable[[list[int], list[bytes], list[int]], list[list[int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes, bool]] = []
+        last_content: tuple[int, int] | None = None
 
         def close(rows: list[tuple[int, int, int, bytes, bool]]) -> pa.RecordBatch:
+            rows.sort(key=lambda r: (r[0], r[2]))
             anchors = [r[0] for r in rows]
             contest = [i for i, r in enumerate(rows) if not r[4] and ((i and anchors[i - 1] == r[0]) or (i + 1 < len(rows) and anchors[i + 1] == r[0]))]
             ranges: list[list[int]] = [[] for _ in rows]
@@ -331,7 +359,10 @@ def _indexed(index: Callable[[list[int], list[bytes], list[int]], list[list[int]
             return _batch(schema, pa.array(anchors), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array(ranges, pa.list_(pa.int64())))
 
         for batch in batches:
-            held += zip(*[batch.column(c).to_pylist() for c in ("anchor", "content_hash", "first", "content", "hot")], strict=True)
+            for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "content_hash", "first", "content", "hot")], strict=True):
+                if row[:2] != last_content:  # the first of equal contents has the smallest document
+                    last_content = row[:2]
+                    held.append(row)
             if len(held) >= 20_000:
                 last = None if held[-1][4] else held[-1][0]  # hot contents need not stay together
                 end = len(held)
@@ -390,11 +421,16 @@ def remove_repeats(
         .cogroup(shared.withColumnRenamed("part", "__part").repartition(tasks, "__part").groupBy("__part"))
         .applyInArrow(_runs(unit, text_col), "anchor long, content binary, hot boolean, part long, row_key long, doc long, begin long, windows long")
     )
-    runs = runs.withColumn("content_hash", F.xxhash64("content"))
-    contents = runs.groupBy("anchor", "content", "content_hash").agg(F.min("doc").alias("first"), F.max("hot").alias("hot"))
+    near = shared.withColumnRenamed("part", "__part").repartition(tasks, "__part")
+    contents = (
+        keyed.groupBy("__part")
+        .cogroup(near.groupBy("__part"))
+        .applyInArrow(_contents(unit, text_col), "anchor long, content binary, hot boolean, first long")
+        .withColumn("content_hash", F.xxhash64("content"))
+    )
     # Both readers take every column of the same exchange, so it is made once. A hot anchor's contents need no company.
     salt = F.when(F.col("hot"), F.pmod("content_hash", F.lit(SALTS))).otherwise(0)
-    dealt = contents.withColumn("salt", salt).repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "first")
+    dealt = contents.withColumn("salt", salt).repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "content_hash", "first")
     indexed = dealt.mapInArrow(_indexed(index), "anchor long, content_hash long, first long, ranges array<long>")
     later = (
         dealt.mapInArrow(_windows(unit), "w1 long, w2 long, first long, anchor long, content_hash long, at long")
@@ -405,7 +441,7 @@ def remove_repeats(
         .agg(F.flatten(F.transform(F.collect_list("at"), lambda a: F.array(a, a + 1))).alias("ranges"))
     )
     decided = indexed.withColumn("whole", F.lit(True)).unionByName(later.withColumn("whole", F.lit(False)))
-    runs = runs.select("anchor", "content_hash", "part", "row_key", "doc", "begin", "windows")
+    runs = runs.select("anchor", F.xxhash64("content").alias("content_hash"), "part", "row_key", "doc", "begin", "windows")
     met = runs.join(decided, ["anchor", "content_hash"])
     met = met.filter(F.when(F.col("doc") > F.col("first"), F.col("whole")).otherwise(F.size("ranges") > 0))
     whole = F.array(F.lit(0).cast("long"), F.col("windows"))
