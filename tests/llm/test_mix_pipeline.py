@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import brute
@@ -95,3 +96,46 @@ def test_every_operator_is_registered_once():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert "pipeline" in __spark_entry__.queries()
     assert langid.UNKNOWN == "und"
+
+
+def _shingles(text):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_dedup_stage_finds_four_fifths(spark):
+    rng = random.Random(5)
+    texts = []
+    for edits, pairs in ((6, 60), (3, 20), (2, 20), (8, 20)):  # likeness 0.82, 0.90, 0.93; 0.76 stays
+        for _ in range(pairs):
+            words = [f"w{rng.randrange(4000)}" for _ in range(300)]
+            texts.append(" ".join(words))
+            for i in range(edits):
+                words[10 + 30 * i] += "x"
+            texts.append(" ".join(words))
+    template = [f"t{i}" for i in range(200)]
+    for i in range(700):  # one dense group, wider than a window
+        copy = list(template)
+        copy[rng.randrange(5, 195)] = f"e{i}"
+        texts.append(" ".join(copy))
+    texts += [texts[0], texts[0].upper(), "one two", "one two", "one three"]
+    sets = [_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if find(i) != find(j) and 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = brute.frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1)])
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=lambda d: -1 if d is None else d) == [None, *sorted({find(i) for i in root})]
+    assert len(got) == 1 + 100 + 2 * 20 + 1 + 2
+
+
+def test_near_dedup_stage_of_an_empty_table(spark, empty):
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
