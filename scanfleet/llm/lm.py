@@ -1,29 +1,31 @@
 """Language-model scores by a weighted backoff automaton.
 
-Every token of the training fold is counted, and every pair and triple of tokens that are frequent
-themselves. An n-gram is a state if its count is at least a fixed share of all tokens: at most
-``1 / SHARE`` states per order, whatever the corpus, which bounds what is sent to the tasks, while
-counts, shuffles and the vocabulary grow with the corpus. Arcs carry Dirichlet-smoothed
-log-probabilities; failure arcs drop the oldest token and carry the backoff weight. One walk from
-left to right carries the state and adds the weights up. A token too rare to be an arc of the root
-leaves the walk at the root; its unigram log-probability comes by a join on the whole vocabulary.
+Every token, pair and triple of the training fold is counted, and every one with ``LEAST`` occurrences
+is a state or an arc, whatever the size of the corpus. Arcs carry Dirichlet-smoothed log-probabilities;
+failure arcs drop the oldest token and carry the backoff weight. The model stays in tables, one of arcs
+and one of failure arcs for each length of a context; nothing of it is collected or broadcast. A state
+is the longest kept context, so a text's walk is one step per position: distinct steps are joined to
+arcs and failure arcs on shuffled keys, and the positions of the texts to their steps. ``Automaton`` is
+the same model in memory, walked from left to right.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfleet.llm import common
 
-#: Share of all training tokens that makes an n-gram a state; longest n-gram; strength of the shorter context.
-SHARE, ORDER, PRIOR = 1e-6, 3, 200.0
+#: Occurrences from which a pair or triple is kept; longest n-gram; strength of the shorter context.
+LEAST, ORDER, PRIOR = 2, 3, 200.0
+#: In place of the hash of a token before the first.
+NONE = 0
 #: The token behind the last word; no word is empty.
 END = b""
 
@@ -106,69 +108,31 @@ class Automaton:
         return total
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    for batch in common.small_batches(batches, "text", 8 << 20):
-        yield batch.column("text").to_pylist()
-
-
-def count_tokens(training: DataFrame) -> DataFrame:
-    """``token, c`` of all of ``training``."""
+def positions(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``a, b, c`` of every token of ``text``: XXH64 of the two tokens before it (``NONE`` before the first) and its own, beside the columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(batches):
-            counts: Counter[bytes] = Counter()
-            for t in texts:
-                counts.update(tokens_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
-
-    return training.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+        for batch in common.small_batches(batches, "text"):
+            found, sizes = [], []
+            for text in batch.column("text").to_pylist():
+                tokens = tokens_of(text)
+                found += [NONE, NONE, *map(xxhash.xxh64_intdigest, tokens)]
+                sizes.append(len(tokens))
+            all_ = np.array(found, np.uint64).view(np.int64)
+            n = np.array(sizes)
+            at = np.arange(n.sum()) + 2 * np.repeat(np.arange(1, len(n) + 1), n)
+            rows = pa.array(np.repeat(np.arange(len(n)), n))
+            columns = [batch.column(c).take(rows) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(all_[at - k]) for k in (2, 1, 0))], names=[*keep, "a", "b", "c"])
 
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, kinds + "a long, b long, c long")
 
-def _extended(vocabulary: dict[bytes, int], levels: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of n-grams one longer than ``levels`` whose parts are kept: key = number of the prefix * width + word."""
-    width = len(vocabulary) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(batches):
-            found = []
-            for t in texts:
-                w = np.fromiter((vocabulary.get(x, -1) for x in tokens_of(t)), np.int64)
-                prefix = w
-                for keys in levels:  # number of the kept n-gram that ends here, or -1
-                    prefix = _number(keys, np.append(-1, prefix[:-1]), w, width)
-                suffix = np.append(prefix[1:], -1)
-                ok = (prefix >= 0) & (suffix >= 0)
-                ok[-1:] = False
-                found.append(prefix[ok] * width + np.append(w[1:], -1)[ok])
-            keys, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "c"])
-
-    return run
-
-
-def _number(keys: np.ndarray, prefix: np.ndarray, w: np.ndarray, width: int) -> np.ndarray:
-    out = np.full(len(w), -1, np.int64)
-    ok = (prefix >= 0) & (w >= 0)
-    if len(keys) and ok.any():
-        asked = prefix[ok] * width + w[ok]
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        out[ok] = np.where(keys[at] == asked, at, -1)
-    return out
-
-
-def frequent_grams(training: DataFrame, vocabulary: dict[bytes, int], counts: list[int], least: float) -> Grams:
-    """Counts of the n-grams with at least ``least`` occurrences, order by order; a longer one has only kept parts."""
-    grams: Grams = {1: {(i,): c for i, c in enumerate(counts)}}
-    width, levels, names = len(vocabulary) + 1, [], [(i,) for i in range(len(counts))]
-    for n in range(2, ORDER + 1):
-        counted = training.select("text").mapInArrow(_extended(vocabulary, levels), "key long, c long")
-        kept = counted.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-        rows = sorted((r["key"], r["c"]) for r in kept.collect())  # at most 1 / SHARE rows
-        keys = np.array([r[0] for r in rows], np.int64)
-        names = [(*names[k // width], k % width) for k in keys.tolist()]
-        grams[n] = {g: r[1] for g, r in zip(names, rows, strict=True)}
-        levels.append(keys)
-    return grams
+def _left(seen: str, shorter: str) -> Column:
+    """log10 of what arcs leave over, by what the same words have behind the shorter context."""
+    rest = [F.greatest(F.lit(1e-12), 1 - F.sum(x)) for x in (seen, shorter)]
+    return F.log10(rest[0] / rest[1])
 
 
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,52 +143,39 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     other. Scores are log10 probabilities, ``base_score`` that of single tokens with half a count
     added.
     """
-    counts = common.stored(count_tokens(training), "tokens")
-    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    triples = common.stored(positions(training, []).groupBy("a", "b", "c").agg(F.count("*").alias("n3")), "triples")
+    pairs = common.stored(triples.groupBy("b", "c").agg(F.sum("n3").alias("n2")), "pairs")
+    counts = common.stored(pairs.groupBy("c").agg(F.sum("n2").alias("n1")), "tokens")
+    size = counts.agg(F.sum("n1").alias("n"), F.count("*").alias("v")).first()
     n, v = size["n"] or 0, size["v"]
-    below = math.log10(max(0.5, n + 0.5 * (v + 1)))
-    least = max(2.0, SHARE * n)
-    frequent = sorted((-r["c"], bytes(r["token"])) for r in counts.filter(F.col("c") >= least).collect())  # at most 1 / SHARE rows
-    vocabulary = {t: i for i, (_, t) in enumerate(frequent)}
-    unigram = [math.log10(-c + 0.5) - below for c, _ in frequent]
-    grams = frequent_grams(training, vocabulary, [-c for c, _ in frequent], least)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, np.array(unigram), grams))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, single, kept = model.value
-        automaton = Automaton(kept, single.tolist())
-        number = words.get
-        for batch in common.small_batches(batches, "text"):
-            rows: list[tuple[int, int, float, float]] = []
-            rare: list[list[bytes]] = []
-            for text in batch.column("text").to_pylist():
-                tokens = tokens_of(text)
-                at = [number(t, -1) for t in tokens]
-                known = np.array(at, np.int64)
-                known = known[known >= 0]
-                rare.append([t for t, k in zip(tokens, at, strict=True) if k < 0] if len(known) < len(at) else [])
-                rows.append((len(tokens), len(known), float(single[known].sum()), automaton.walk(at)))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c) for c in columns], pa.array(rare, pa.list_(pa.binary()))],
-                names=["doc_id", "n_tokens", "known", "base", "walked", "rare"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    walked = read.mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, walked double, rare array<binary>")
-    walked = common.stored(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-    asked = walked.select("row", F.explode("rare").alias("token"))
-    met = asked.join(counts.filter(F.col("c") < least), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rest = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("more"), F.sum(F.log10(F.col("c") + 0.5) - below).alias("part"))
-    out = walked.drop("rare").join(rest, "row", "left")
-    part = F.coalesce("part", F.lit(0.0))
-    scores = [(F.col("base") + part).alias("base_score"), (F.col("walked") + part).alias("score")]
-    if not n:
-        scores = [F.lit(None).cast("double").alias(c) for c in ("base_score", "score")]
-    return out.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), *scores
+    below = max(0.5, n + 0.5 * (v + 1))
+    single = counts.select("c", ((F.col("n1") + 0.5) / below).alias("p1"))
+    # Arcs and failure weights of the states of one word, then of two; kept parts of a kept n-gram are kept.
+    total = counts.select(F.col("c").alias("b"), "n1")
+    arcs = pairs.filter((F.col("b") != NONE) & (F.col("n2") >= LEAST)).join(single, "c").join(total, "b")
+    arcs = common.stored(arcs.select("b", "c", "p1", ((F.col("n2") + PRIOR * F.col("p1")) / (F.col("n1") + PRIOR)).alias("q2")), "arcs")
+    fails = arcs.groupBy("b").agg(_left("q2", "p1").alias("f1"))
+    total = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), "n2")
+    longer = triples.filter((F.col("a") != NONE) & (F.col("n3") >= LEAST)).join(arcs.drop("p1"), ["b", "c"]).join(total, ["a", "b"])
+    longer = common.stored(longer.select("a", "b", "c", "q2", ((F.col("n3") + PRIOR * F.col("q2")) / (F.col("n2") + PRIOR)).alias("q3")), "longer")
+    longer_fails = longer.groupBy("a", "b").agg(_left("q3", "q2").alias("f2"))
+
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    step = positions(kept, []).distinct()
+    step = step.join(longer.drop("q2"), ["a", "b", "c"], "left").join(arcs.drop("p1"), ["b", "c"], "left").join(longer_fails, ["a", "b"], "left")
+    step = step.join(fails, "b", "left").join(single, "c", "left")
+    base = F.log10(F.coalesce("p1", F.lit(0.5 / below)))
+    shorter = F.coalesce(F.log10("q2"), F.coalesce("f1", F.lit(0.0)) + base)
+    weight = F.coalesce(F.log10("q3"), F.coalesce("f2", F.lit(0.0)) + shorter)
+    step = step.select("a", "b", "c", base.alias("base"), weight.alias("weight"), F.col("p1").isNotNull().cast("long").alias("known"))
+    walked = positions(kept, ["doc_id", "row"]).join(step, ["a", "b", "c"])
+    out = walked.groupBy("row", "doc_id").agg(
+        F.count("*").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("weight").alias("score")
     )
+    scores = ["base_score", "score"]
+    if not n:
+        scores = [F.lit(None).cast("double").alias(c) for c in scores]
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), *scores)
 
 
 def op5(spark: SparkSession, sf: str) -> DataFrame:

@@ -150,6 +150,46 @@ def test_automaton_walk_is_the_backoff_recursion():
     assert total == pytest.approx(sum(10**u for u in unigram), abs=0.2)
 
 
+def _automaton_score(texts, scored):
+    """Scores by the automaton in memory over all n-grams that occur twice."""
+    tokens = [lm.tokens_of(t) for t in texts]
+    counts = Counter(w for t in tokens for w in t)
+    number = {w: i for i, w in enumerate(sorted(counts))}
+    ids = [[number[w] for w in t] for t in tokens]
+    grams = {n: {g: c for g, c in Counter(tuple(t[i : i + n]) for t in ids for i in range(len(t) - n + 1)).items() if n == 1 or c >= 2} for n in (1, 2, 3)}
+    below = sum(counts.values()) + 0.5 * (len(counts) + 1)
+    automaton = lm.Automaton(grams, [math.log10((counts[w] + 0.5) / below) for w in sorted(counts)])
+    out = []
+    for t in scored:
+        at = [number.get(w, -1) for w in lm.tokens_of(t)]
+        out.append(automaton.walk(at) + sum(x < 0 for x in at) * math.log10(0.5 / below))
+    return out
+
+
+def test_table_walk_is_the_automaton_walk(spark, data):
+    training = [d[1] for d in data if brute.fold(d[0]) != 1]
+    docs = spark.createDataFrame([(i, d[1]) for i, d in enumerate(data)], "doc_id long, text string")
+    got = lm.score(docs, spark.createDataFrame([(t,) for t in training], "text string"))
+    want = _automaton_score(training, [d[1] for d in data])
+    for r in got.collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6)
+
+
+def test_states_do_not_depend_on_the_size_of_the_corpus(spark):
+    rare = "x y z"  # twice in over two million tokens
+    filler = " ".join(["p q r s"] * 10_000)
+    texts = [filler] * 55 + [rare, rare]
+    got = lm.score(spark.createDataFrame([(1, rare)], "doc_id long, text string"), spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)).first()
+    assert got["train_tokens"] > 2_200_000
+    below = got["train_tokens"] + 0.5 * (8 + 1)
+    one = 2.5 / below
+    pair = (2 + lm.PRIOR * one) / (2 + lm.PRIOR)
+    triple = (2 + lm.PRIOR * pair) / (2 + lm.PRIOR)
+    end = 57.5 / below
+    last = (2 + lm.PRIOR * (2 + lm.PRIOR * end) / (2 + lm.PRIOR)) / (2 + lm.PRIOR)
+    assert got["score"] == pytest.approx(math.log10(one) + math.log10(pair) + math.log10(triple) + math.log10(last), abs=1e-9)
+
+
 def test_scores_of_odd_tables(spark, empty):
     assert lm.score(empty, empty).count() == 0
     docs = brute.frame(spark, [(None, "A b", "", "", 0), (3, None, "", "", 0)])
