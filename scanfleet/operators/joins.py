@@ -355,6 +355,14 @@ def loop_pairs(
     return out.select(*by, "kf1", F.col("kf_id").alias("kf2"))
 
 
+def loop_ranges(
+    keyframes: DataFrame, by: Sequence[str] = ("run_id",), radius: float = LOOP_RADIUS, min_age: int = LOOP_MIN_AGE
+) -> DataFrame:
+    """Count, first and last of the earlier keyframes that ``loop_pairs`` finds for each later one."""
+    found = loop_pairs(keyframes, by, radius, min_age)
+    return found.groupBy(*by, "kf2").agg(F.count("*").alias("n"), F.min("kf1").alias("first_kf1"), F.max("kf1").alias("last_kf1"))
+
+
 def loop_candidates(
     keyframes: DataFrame, by: Sequence[str] = ("run_id",), radius: float = LOOP_RADIUS,
     min_age: int = LOOP_MIN_AGE, gap: int = LOOP_KF_GAP, skip: int = LOOP_SKIP,

@@ -148,3 +148,18 @@ def test_entry_and_registry(spark, sf):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 150
+
+
+def test_every_loop_has_its_submap_and_every_near_pair_is_counted(spark):
+    from scanfleet import fixtures
+    from scanfleet.catalog import ENTRIES
+
+    run = lambda name: ENTRIES[name].build(spark, "/root/testdata/sf0.01")
+    centres = {(r[0], r[1]) for r in run("j9_loop_candidates").select("run_id", "kf1").distinct().collect()}
+    made = {(r[0], r[1]) for r in run("j10_loop_submaps").select("run_id", "kf1").distinct().collect()}
+    clouds = fixtures.view(spark, "/root/testdata/sf0.01", "kf_points").select("run_id", "kf_id").distinct().collect()
+    having = {(r[0], r[1]) for r in clouds}
+    assert made == {(r, k) for r, k in centres if any((r, k + o) in having for o in range(-40, 37, 4))}
+    assert any(k % 100 != 50 for _, k in made)
+    wide = run("j9_loop_ranges").groupBy().sum("n").first()[0]
+    assert wide > run("j9_loop_pairs").count()
