@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfleet.llm import automata, columnwise, fingerprints, langid, lm, mixing, packing, quality, sharding, simhash
+from scanfleet.llm import automata, columnwise, fingerprints, langid, lm, manifest, mixing, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mix": mixing.op1,
@@ -19,6 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_automata": automata.op8,
     "op9_simhash_components": simhash.op9,
     "op10_columnwise_suffix_order": columnwise.op10,
+    "op12_merkle_manifest": manifest.op12,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_hierarchical_mix": mixing.oracle(),
+    "op12_merkle_manifest": manifest.oracle(),
+}

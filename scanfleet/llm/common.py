@@ -63,6 +63,27 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str, rows: int, out:
     return joined.drop("__bucket", "__row", "__base", *[f"__k{i}" for i in range(len(names))])
 
 
+def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, label: str) -> DataFrame:
+    """``df`` with the zero-based rank ``out`` of each row inside ``keys`` by ``order`` (nulls first, then ascending).
+
+    Rows are range-partitioned by keys and order and written once, so a key of any size is spread
+    over many ranges; the counts of the ranges give each its first rank. Null keys form one group.
+    """
+    names = [*keys, "__part"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    dealt = stored(df.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()), label)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*names).agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    first = sizes.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], "__base")
+    inner = Window.partitionBy(*names).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    ranked = dealt.withColumn("__row", F.row_number().over(inner))
+    joined = ranked.join(first, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)])
+    joined = joined.withColumn(out, (F.col("__row") - 1 + F.col("__base")).cast("long"))
+    return joined.drop("__part", "__row", "__base", *[f"__k{i}" for i in range(len(names))])
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and ``n + 1`` offsets into them; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
