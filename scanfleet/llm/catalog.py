@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfleet.llm import automata, columnwise, fingerprints, langid, lm, manifest, mixing, packing, quality, sharding, simhash, trie
+from scanfleet.llm import automata, columnwise, fingerprints, langid, lm, manifest, minhash, mixing, packing, quality, sharding, simhash, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mix": mixing.op1,
@@ -19,12 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_automata": automata.op8,
     "op9_simhash_components": simhash.op9,
     "op10_columnwise_suffix_order": columnwise.op10,
+    "op11_minhash_components": minhash.op11,
     "op12_merkle_manifest": manifest.op12,
     "op13_prefix_trie": trie.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_hierarchical_mix": mixing.oracle(),
+    "op11_minhash_components": minhash.oracle(),
     "op12_merkle_manifest": manifest.oracle(),
     "op13_prefix_trie": trie.oracle(),
 }
