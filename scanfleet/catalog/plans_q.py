@@ -12,66 +12,125 @@ from scanfleet.functions import geom
 from scanfleet.operators import aggregate as A
 from scanfleet.operators import joins as J
 from scanfleet.plans import bundle as B
-from scanfleet.plans import fits, linear, mapping, posegraph, registration
+from scanfleet.plans import fits, linear, localization, mapping, posegraph, registration
 from scanfleet.session import scratch_path
 
 SCAN = ["run_id", "scan_id"]
 POSE = geom.POSE_COLUMNS
 
 
-def scan_points(spark, sf):
-    return view(spark, sf, "points", metres=True).select(*SCAN, "idx", "x", "y", "z")
+# --- registration in a hall whose scans have known poses ---------------------------------------
 
 
-def offset_starts(spark, sf, dx=0.15, dy=-0.1, yaw=0.01):
-    """Start poses a little off the identity, which is the true pose of every scan."""
-    turn = geom.so3_exp(geom.Vec(F.lit(0.0), F.lit(0.0), F.lit(yaw)))
-    start = geom.Pose(turn, geom.Vec(F.lit(dx), F.lit(dy), F.lit(0.0)))
-    return fixtures.view(spark, sf, "scans").select(*SCAN, *start.columns())
+def site_points(spark, sf):
+    """Every scan's points in its own axes, metres."""
+    p = fixtures.view(spark, sf, "site_points")
+    return p.select(*SCAN, "idx", *((F.col(f"b{c}_mm") / 1000.0).alias(c) for c in "xyz"))
 
 
-def shared_cells(spark, sf, res):
-    return A.ndt_cells(view(spark, sf, "points"), int(res * 1000), scale=1e-3).filter("valid")
+def site_world(spark, sf):
+    """The same points in the hall's axes."""
+    p = fixtures.view(spark, sf, "site_points")
+    return p.select((F.col("scan_id") * 1_000_000 + F.col("idx")).alias("map_id"), *((F.col(f"w{c}_mm") / 1000.0).alias(c) for c in "xyz"))
 
 
-@register("i1_register_ndt")
-def _(spark, sf):
-    return registration.register_ndt(offset_starts(spark, sf), scan_points(spark, sf), shared_cells(spark, sf, 1.0), 1.0, SCAN, iters=4)
+def site_cells(spark, sf, res):
+    return A.ndt_cells(site_world(spark, sf), res).filter("valid")
 
 
-@register("i2_verify_loops")
-def _(spark, sf):
-    poses = keyframe_poses(spark, sf)
-    pts = view(spark, sf, "kf_points", metres=True)
-    # Candidates between keyframes that carry a cloud.
-    having = pts.select("run_id", "kf_id").distinct()
-    cand = J.loop_candidates(poses.join(having, ["run_id", "kf_id"], "left_semi"), min_age=10, gap=0, skip=0, radius=30.0)
-    return registration.verify_loops(cand, poses, pts, levels=(10.0, 5.0), min_score=0.1, iters=2)
+def site_map(spark, sf, leaf):
+    """A thinned map with an id for each point."""
+    thin = A.voxel_downsample(site_world(spark, sf), leaf)
+    code = (F.col("vx") + 5_000) * 100_000_000 + (F.col("vy") + 5_000) * 10_000 + F.col("vz") + 5_000
+    return thin.select(code.alias("map_id"), "x", "y", "z")
+
+
+def truth(spark, sf, *extra):
+    """Known poses; quarter-like turns by half angles."""
+    s = fixtures.view(spark, sf, "site_scans")
+    half = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)) / 2.0)
+    turn = geom.Quat(half(1 + F.col("c10") / 10.0), F.lit(0.0), F.lit(0.0), half(1 - F.col("c10") / 10.0))
+    pose = geom.Pose(turn, geom.Vec(F.col("tx_mm") / 1000.0, F.col("ty_mm") / 1000.0, F.lit(0.0)))
+    return s.select(*SCAN, *extra, *pose.columns())
+
+
+def starts(spark, sf, dx=0.3, dy=-0.2, yaw=0.03, dz=0.1):
+    """Start poses beside the truth."""
+    off = geom.Pose(geom.so3_exp(geom.Vec(F.lit(0.0), F.lit(0.0), F.lit(yaw))), geom.Vec(F.lit(dx), F.lit(dy), F.lit(dz)))
+    moved = geom.pose_compose(geom.Pose.of(), off)
+    return truth(spark, sf).select(*SCAN, *moved.columns())
 
 
-@register("i3_yaw_search")
+def close_to_truth(spark, sf, found, *extra, metres=0.1, radians=0.02):
+    """Poses to the nearest half metre, and whether they are within the limits of the known ones."""
+    known = truth(spark, sf).select(*SCAN, *(F.col(c).alias(f"k_{c}") for c in POSE))
+    d, angle = geom.pose_distance(geom.Pose.of(), geom.Pose.of("k"))
+    half = lambda c: (F.round(F.col(c) * 2.0) / 2.0 + 0.0).alias(c)
+    return found.join(known, SCAN).select(*SCAN, half("tx"), half("ty"), half("tz"), ((d < metres) & (angle < radians)).alias("close"), *extra)
+
+
+SITE_TRUTH = "SELECT run_id, scan_id, tx_mm/1000e0 AS tx, ty_mm/1000e0 AS ty, 0e0 AS tz, true AS close"
+
+
+@register("i1_register_ndt", f"{SITE_TRUTH}, true AS converged FROM site_scans")
 def _(spark, sf):
-    seeds = offset_starts(spark, sf, 0.0, 0.0, 0.0).withColumn("seed_id", F.lit(0).cast("bigint"))
-    coarse, fine = shared_cells(spark, sf, 5.0), shared_cells(spark, sf, 1.0)
-    return registration.yaw_search(scan_points(spark, sf), seeds, coarse, fine, SCAN, n=6, iters=1, threshold=0.1)
+    out = registration.register_ndt(starts(spark, sf), site_points(spark, sf), site_cells(spark, sf, 1.0), 1.0, SCAN)
+    return close_to_truth(spark, sf, out, "converged")
 
 
-def recent(spark, sf):
-    from scanfleet.catalog.joins_q import recent_map
+@register(
+    "i2_verify_loops",
+    """WITH RECURSIVE p AS (SELECT a.run_id, a.k AS kf1, b.k AS kf2, b.tx_mm - a.tx_mm AS dx, b.ty_mm - a.ty_mm AS dy, a.c10, a.s10 FROM site_scans a JOIN site_scans b ON a.run_id = b.run_id AND b.k - a.k >= 10),
+      g AS (SELECT run_id, kf2, min(kf1) AS kf1 FROM p GROUP BY 1, 2 UNION ALL
+        SELECT g.run_id, g.kf2, g.kf1 + 21 FROM g WHERE g.kf2 - g.kf1 - 21 >= 10)
+    SELECT p.run_id, p.kf1, p.kf2, floor((p.c10*p.dx + p.s10*p.dy)/1e4 + 0.5e0) AS tx, floor((p.c10*p.dy - p.s10*p.dx)/1e4 + 0.5e0) AS ty, true AS close FROM p JOIN g ON p.run_id = g.run_id AND p.kf1 = g.kf1 AND p.kf2 = g.kf2""",
+)
+def _(spark, sf):
+    # Keyframes are the hall's scans; later ones have drifted, all tested pairs are true revisits.
+    known = truth(spark, sf, "k")
+    slip = F.when(F.col("k") % 2 == 1, 0.25).otherwise(-0.15)
+    drifted = known.withColumns({"tx": F.col("tx") + slip, "ty": F.col("ty") - slip / 2})
+    ids = known.select(*SCAN, F.col("k").alias("kf_id"))
+    poses = drifted.select("run_id", F.col("k").alias("kf_id"), *POSE)
+    pts = site_points(spark, sf).join(ids, SCAN).select("run_id", "kf_id", "idx", "x", "y", "z")
+    cand = J.loop_candidates(poses, min_age=10, gap=0, radius=30.0)
+    out = registration.verify_loops(cand, poses, pts)
+    real = J.with_relative_pose(cand, known.select("run_id", F.col("k").alias("kf_id"), *POSE), ["run_id"])
+    j = out.join(real.select("run_id", "kf1", "kf2", *(F.col(c).alias(f"k_{c}") for c in POSE)), ["run_id", "kf1", "kf2"])
+    d, angle = geom.pose_distance(geom.Pose.of(), geom.Pose.of("k"))
+    whole = lambda c: (F.floor(F.col(f"k_{c}") + 0.5 + 1e-9).cast("double") + 0.0).alias(c)
+    return j.select("run_id", "kf1", "kf2", whole("tx"), whole("ty"), ((d < 0.4) & (angle < 0.03)).alias("close"))
+
+
+@register("i3_yaw_search", f"{SITE_TRUTH} FROM site_scans")
+def _(spark, sf):
+    # Seeds know the place roughly and nothing of the heading.
+    seeds = truth(spark, sf).select(*SCAN, F.lit(0).cast("bigint").alias("seed_id"), (F.col("tx") + 0.3).alias("tx"), (F.col("ty") - 0.2).alias("ty"), "tz",
+        F.lit(1.0).alias("qw"), *(F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")))
+    out = registration.yaw_search(site_points(spark, sf), seeds, site_cells(spark, sf, 5.0), site_cells(spark, sf, 1.0), SCAN)
+    return close_to_truth(spark, sf, out)
 
-    return recent_map(view(spark, sf, "points")).select("map_id", *((F.col(c) / 1000.0).alias(c) for c in "xyz"))
+
+@register("i4_register_point_to_plane", f"{SITE_TRUTH} FROM site_scans")
+def _(spark, sf):
+    near = starts(spark, sf, 0.1, -0.08, 0.01, 0.05)
+    out = registration.register_point_to_plane(near, site_points(spark, sf), site_map(spark, sf, 0.2), SCAN, "idx", iters=20)
+    return close_to_truth(spark, sf, out)
 
 
-@register("i4_register_point_to_plane")
+@register("i5_register_icp", f"{SITE_TRUTH}, true AS accepted FROM site_scans")
 def _(spark, sf):
-    return registration.register_point_to_plane(offset_starts(spark, sf, 0.02, 0.01, 0.0), scan_points(spark, sf), recent(spark, sf), SCAN, "idx", iters=1)
+    near = starts(spark, sf, 0.02, -0.02, 0.005, 0.02)
+    out = registration.register_icp(near, site_points(spark, sf), site_map(spark, sf, 0.2), SCAN, "idx", iters=30)
+    return close_to_truth(spark, sf, registration.gate_refinement(near, out, SCAN), "accepted")
 
 
-@register("i5_register_icp")
+@register("i5_register_gicp", f"{SITE_TRUTH} FROM site_scans")
 def _(spark, sf):
-    starts = offset_starts(spark, sf, 0.02, 0.01, 0.0)
-    out = registration.register_icp(starts, scan_points(spark, sf), recent(spark, sf), SCAN, "idx", iters=1)
-    return registration.gate_refinement(starts, out, SCAN)
+    points = registration.point_covariances(site_points(spark, sf), "idx", SCAN, max_range=1.5, leaf=1.0)
+    world = registration.point_covariances(site_map(spark, sf, 0.2), "map_id")
+    out = registration.register_icp(starts(spark, sf), points, world, SCAN, "idx", iters=30, gicp=True)
+    return close_to_truth(spark, sf, out)
 
 
 @register("i6_optimize_pose_graph")
@@ -179,3 +238,28 @@ def _(spark, sf):
         poses, pts, scratch_path(spark, "map"), plane=(0.0, 0.0, 1.0, 1.25), loop_levels=(10.0,), min_loop_score=0.1, graph_iters=1,
         key_distance=1.0, cg_iters=4, loop_iters=1,
     )
+
+
+@register(
+    "i11_localize_logs",
+    """SELECT run_id, scan_id, tx_mm/1000e0 AS tx, ty_mm/1000e0 AS ty, 0e0 AS tz, true AS close, 'GOOD' AS status, true AS fused FROM site_scans""",
+)
+def _(spark, sf):
+    """Scans of the hall from odometry in a frame of its own, which jumps once in every third run."""
+    known = truth(spark, sf, "k")
+    t = (F.col("k") * 0.4).alias("t")
+    scans = known.select(*SCAN, t)
+    frame = geom.Pose(geom.so3_exp(geom.Vec(F.lit(0.0), F.lit(0.0), F.lit(0.7))), geom.Vec(F.lit(40.0), F.lit(-25.0), F.lit(0.0)))
+    jump = (F.col("run_id") % 3 == 0) & (F.col("k") >= 12)
+    odo = geom.pose_compose(frame, geom.Pose.of())
+    slip = F.when(F.col("k") % 3 == 1, 0.1).otherwise(-0.1)
+    lost = {c: v + (F.when(jump, far).otherwise(0.0) + slip if far else 0.0) for c, v, far in zip(POSE, odo.columns(), (30.0, 20.0, 0, 0, 0, 0, 0))}
+    odometry = known.select("run_id", t, *(v.alias(c) for c, v in lost.items()))
+    reckoning = known.select("run_id", t, *(v.alias(c) for c, v in zip(POSE, odo.columns())))
+    reckoning = reckoning.withColumn("tx", F.col("tx") + F.when(F.col("t") * 2.5 % 4 < 1, 0.35).otherwise(0.0))
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate((x, y) for x in (-2, 0, 2) for y in (-1, 0, 1))]
+    seeds = spark.createDataFrame(places, "seed_id bigint, tx double, ty double")
+    seeds = seeds.select("seed_id", "tx", "ty", F.lit(0.0).alias("tz"), F.lit(1.0).alias("qw"), *(F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")))
+    out = localization.localize(scans, site_points(spark, sf), odometry, site_world(spark, sf), seeds, reckoning=reckoning)
+    gap = F.sqrt(sum((F.col(f"fused_{c}") - F.col(c)) ** 2 for c in ("tx", "ty", "tz")))
+    return close_to_truth(spark, sf, out, "status", (gap < 0.5).alias("fused"))

@@ -44,6 +44,25 @@ VIEWS: dict[str, str] = {
     "scans": """
         SELECT run_id, scan_id, count(*) AS n_points, scan_id * 100 AS t_begin_ms, scan_id * 100 + max(idx) * 150 / 1000e0 AS t_end_ms FROM points GROUP BY run_id, scan_id
     """,
+    # A hall with a slanted wall and a corner of boxes, seen by every scan from a known pose (centimetre rotations are 3-4-5).
+    "site_scans": """
+        SELECT run_id, scan_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY scan_id) - 1 AS BIGINT) AS k,
+          (scan_id % 5 - 2) * 1000 AS tx_mm, (scan_id % 3 - 1) * 1000 AS ty_mm,
+          CASE scan_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 0 ELSE -6 END AS c10, CASE scan_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 10 ELSE 8 END AS s10
+        FROM (SELECT DISTINCT CAST(floor(l_suppkey / 4e0) AS BIGINT) % 4 AS run_id, CAST(l_suppkey AS BIGINT) AS scan_id FROM lineitem) d
+    """,
+    "site_points": """
+        SELECT s.run_id, s.scan_id, p.idx, s.k, p.wx AS wx_mm, p.wy AS wy_mm, p.wz AS wz_mm,
+          (s.c10*(p.wx - s.tx_mm) + s.s10*(p.wy - s.ty_mm)) / 10e0 AS bx_mm, (s.c10*(p.wy - s.ty_mm) - s.s10*(p.wx - s.tx_mm)) / 10e0 AS by_mm, p.wz * 1e0 AS bz_mm
+        FROM (SELECT scan_id, idx,
+            CASE WHEN n <= 3 OR n = 5 THEN -12000 + 24*u WHEN n = 4 THEN 12000 WHEN n = 6 THEN -12000 + 4*u WHEN u < 500 THEN 3000 + 8*u ELSE 3000 END AS wx,
+            CASE WHEN n <= 2 THEN -8000 + 16*v WHEN n = 3 THEN -8000 WHEN n = 5 THEN 8000 WHEN n = 4 OR n = 6 THEN -8000 + 16*u WHEN u < 500 THEN -3000 ELSE -7000 + 8*(u - 500) END AS wy,
+            CASE WHEN n <= 2 THEN -1200 + u*v % 41 - 20 ELSE -1200 + 3*v END AS wz
+          FROM (SELECT CAST(l_suppkey AS BIGINT) AS scan_id, l_linenumber AS n,
+              CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS BIGINT) AS idx,
+              CAST((l_orderkey*7919 + l_partkey*104729 + l_linenumber*31) % 1000 AS BIGINT) AS u, CAST((l_orderkey*15485863 + l_partkey*7907 + l_linenumber*17) % 1000 AS BIGINT) AS v FROM lineitem) a) p
+        JOIN site_scans s ON s.scan_id = p.scan_id
+    """,
     "imu": """
         SELECT event_id AS imu_id, user_id AS vehicle_id, {US} AS t_us,
           CAST(event_id*7919 % 201 - 100 AS BIGINT) AS gx_mrad, CAST(event_id*104729 % 201 - 100 AS BIGINT) AS gy_mrad, CAST(event_id*31 % 201 - 100 AS BIGINT) AS gz_mrad,
