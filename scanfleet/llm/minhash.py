@@ -53,8 +53,9 @@ def shingles(text: str | None, words: int, known: dict[bytes, int]) -> np.ndarra
     tokens = text.encode().lower().split() if text else []
     if not tokens:
         return np.zeros(0, np.uint64)
-    for t in set(tokens) - known.keys():
-        known[t] = xxhash.xxh64_intdigest(t, 42)
+    for t in set(tokens):
+        if t not in known:
+            known[t] = xxhash.xxh64_intdigest(t, 42)
     h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     k = min(words, len(tokens))
     out = h[: len(h) - k + 1]
