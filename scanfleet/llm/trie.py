@@ -4,10 +4,12 @@ Every conversation is one row: the keys and sizes of its turns in order. The pee
 greatest depth. At each depth the conversations that end there meet the nodes that survive from below:
 their last turn is stripped, and regrouping them by what is left gives the nodes of the next depth with
 their members, children, leaves and savings summed. Each depth is one shuffle with map-side sums, and the
-nodes it finds are written once. Texts leave the first projection as digests.
+nodes it finds are written once. Beyond ``SINGLE`` turns few conversations go on; there a round peels as
+many depths as hold a bounded number of turns, each task the conversations that agree up to the last of
+them. Texts leave the first projection as digests.
 
-Rounds and the width of a row grow with the longest single conversation, as truncation demands; no
-number of conversations, and no number of members of one node, has to fit a task.
+The width of a row grows with the longest single conversation, and rounds with its depth or with all turns
+of deep conversations; no number of conversations, and no number of members of one node, has to fit a task.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from scanfleet.llm import common, sqltext
 
 #: Conversations whose ids differ by less share their first turns with the lowest; most turns shared, plus one.
 FAMILY, SHARED = 100, 6
+#: Depths that are peeled one by one; most turns of a round of several deeper ones.
+SINGLE, HELD = 16, 2_000_000
+SUMMED = ["n_convs", "n_children", "n_leaves", "below"]
+NODES = "key binary, up binary, depth int, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, path array<struct<key:binary,size:bigint>>"
 #: Ids that one string of a node's list holds.
 LISTED = 4096
 
@@ -76,30 +82,79 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("path", F.aggregate("path", first, longer))
 
 
+def _ranges(counts: dict[int, int]) -> list[tuple[int, int]]:
+    """(lowest, highest) depths of each round, deepest first: single ones up to ``SINGLE``, then as many as hold ``HELD`` turns."""
+    out, alive, hi = [], 0, max(counts)
+    lo = hi
+    while hi > SINGLE:
+        alive += counts.get(lo, 0)
+        if lo == SINGLE + 1 or (hi - lo + 2) * alive > HELD:
+            out.append((lo, hi))
+            hi = lo - 1
+        lo -= 1
+    return out + [(d, d) for d in range(min(hi, SINGLE), -1, -1)]
+
+
+def _level(rows: DataFrame, depth: int) -> DataFrame:
+    """The nodes of one depth from the conversations that end there and the stripped nodes below it."""
+    last = F.element_at("path", -1)
+    grouped = rows.withColumn("key", last["key"]).groupBy("key").agg(
+        F.first("path").alias("path"), F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in SUMMED]
+    )
+    nodes = grouped.withColumns({"saved_tokens": F.col("below") + (F.col("n_convs") - 1) * last["size"], "n_leaves": F.greatest("n_leaves", F.lit(1))})
+    up = F.try_element_at("path", F.lit(-2))["key"]
+    cut = F.slice("path", F.lit(1), F.size("path") - 1)
+    return nodes.select("key", up.alias("up"), F.lit(depth).alias("depth"), "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", cut.alias("path"))
+
+
+def _deep(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The same for all depths from ``hi`` down to ``lo``: conversations that agree up to ``lo`` are peeled in one task.
+
+    A range holds at most ``HELD`` turns in all, so a task does too. ``path`` is kept for the nodes at ``lo`` alone.
+    """
+    names = ["key", "up", "depth", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "path"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ending: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("path", "conv_id", *SUMMED)], strict=True):
+                ending.setdefault(len(row[0]) - 1, []).append(row)
+        out, up = [], []
+        for depth in range(hi, lo - 1, -1):
+            nodes: dict[bytes, list] = {}
+            for path, conv, *sums in [*ending.get(depth, []), *up]:
+                node = nodes.setdefault(path[depth]["key"], [path, conv, 0, 0, 0, 0])
+                node[1] = min(node[1], conv)
+                for i, v in enumerate(sums):
+                    node[2 + i] += v
+            up = []
+            for key, (path, conv, n, children, leaves, below) in nodes.items():
+                saved, leaves = below + (n - 1) * path[depth]["size"], max(leaves, 1)
+                out.append((key, path[depth - 1]["key"], depth, conv, n, children, leaves, saved, path[:depth] if depth == lo else None))
+                up.append((path, conv, n, 1, leaves, saved))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    path = pa.list_(pa.struct([("key", pa.binary()), ("size", pa.int64())]))
+    kinds = [pa.binary(), pa.binary(), pa.int32(), *[pa.int64()] * 5, path]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("path", "conv_id", *SUMMED).repartition(parts, F.element_at("path", lo + 1)["key"])
+    return dealt.mapInArrow(run, NODES)
+
+
 def peeled(paths: DataFrame, label: str = "trie") -> list[DataFrame]:
-    """The nodes of each depth, deepest first, from ``conv_id, path`` with prefix keys."""
+    """Tables of nodes, deepest first, from ``conv_id, path`` with prefix keys."""
     sized = paths.withColumn("depth", F.size("path") - 1)
-    deepest = sized.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return []
+    counts = {r["depth"]: r["n"] for r in sized.groupBy("depth").agg(F.count("*").alias("n")).collect()}  # a row for each length
     found: list[DataFrame] = []
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     stripped: DataFrame | None = None
-    for depth in range(deepest, -1, -1):
-        rows = sized.filter(F.col("depth") == depth).select("path", "conv_id", one.alias("n_convs"), none.alias("n_children"), none.alias("n_leaves"), none.alias("below"))
+    for lo, hi in _ranges(counts) if counts else []:
+        rows = sized.filter(F.col("depth").between(lo, hi)).select("path", "conv_id", one.alias("n_convs"), *[none.alias(c) for c in SUMMED[1:]])
         rows = rows if stripped is None else rows.unionByName(stripped)
-        last = F.element_at("path", -1)
-        grouped = rows.withColumn("key", last["key"]).groupBy("key").agg(
-            F.first("path").alias("path"),
-            F.min("conv_id").alias("conv_id"),
-            *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "below")],
-        )
-        saved = F.col("below") + (F.col("n_convs") - 1) * last["size"]
-        nodes = grouped.withColumns({"saved_tokens": saved, "n_leaves": F.greatest("n_leaves", one), "depth": F.lit(depth)})
-        nodes = common.stored(nodes.drop("below"), label)
+        nodes = common.stored(_level(rows, hi) if lo == hi else _deep(rows, lo, hi), label)
         found.append(nodes)
-        cut = F.slice("path", F.lit(1), F.size("path") - 1)
-        stripped = nodes.select(cut.alias("path"), "conv_id", "n_convs", one.alias("n_children"), "n_leaves", F.col("saved_tokens").alias("below"))
+        stripped = nodes.filter(F.col("depth") == lo).select("path", "conv_id", "n_convs", one.alias("n_children"), "n_leaves", F.col("saved_tokens").alias("below"))
     return found
 
 
@@ -169,10 +224,9 @@ def trie(conversations: DataFrame) -> DataFrame:
     paths = common.stored(keyed(rebuilt(original)), "paths")
     levels = peeled(paths)
     ends = listed(paths.select(F.element_at("path", -1)["key"].alias("key"), "conv_id"))
-    made = [x.withColumn("key", F.element_at("path", -1)["key"]).withColumn("up", F.when(F.col("depth") > 0, F.try_element_at("path", F.lit(-2))["key"])) for x in levels]
     keep = ("key", "up", "depth", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
-    kind = "key binary, up binary, depth int, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
-    nodes = reduce(DataFrame.unionByName, [x.select(*keep) for x in made]) if made else spark.createDataFrame([], kind)
+    empty = spark.createDataFrame([], NODES)
+    nodes = reduce(DataFrame.unionByName, [x.select(*keep) for x in levels] or [empty.select(*keep)])
     above = nodes.select(F.col("key").alias("up"), F.col("conv_id").alias("parent_conv_id"))
     out = nodes.join(above, "up", "left").join(ends, "key", "left")
     return out.select(

@@ -243,9 +243,11 @@ def _trie(data):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_trie_equals_brute_force_and_sql(spark, seed, tmp_path, monkeypatch):
+@pytest.mark.parametrize(("seed", "single", "held"), [(1, 16, 10**6), (2, 2, 10**6), (3, 0, 40)])
+def test_trie_equals_brute_force_and_sql(spark, seed, single, held, tmp_path, monkeypatch):
     monkeypatch.setattr(trie, "LISTED", 3)  # so that nodes have several strings of ids
+    monkeypatch.setattr(trie, "SINGLE", single)
+    monkeypatch.setattr(trie, "HELD", held)
     data = _conversations(seed)
     frame = spark.createDataFrame(data, KIND).repartition(3)
     want = _trie(data)
