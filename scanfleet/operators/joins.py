@@ -18,7 +18,7 @@ from scanfleet.functions.keys import diamond, fan_out, planar_cells, stencil, ti
 from scanfleet.operators.aggregate import INFO_NAMES, plane_fit, voxel_downsample
 from scanfleet.operators.ordered import Carry, needs_split, running
 from scanfleet.operators.points import transform_points
-from scanfleet.operators.windows import ordered_fold
+from scanfleet.operators.windows import spaced_fold
 from scanfleet.session import cut
 
 VOXEL = ["vx", "vy", "vz"]
@@ -390,7 +390,7 @@ def loop_candidates(
         take = now - last > gap
         return (now if take else last), (take,)
 
-    tested = ordered_fold(start, by, ["kf_id"], ["kf_id", "_first"], lambda: None, spaced, "_take boolean")
+    tested = spaced_fold(start, by, ["kf_id"], ["kf_id", "_first"], lambda: None, spaced, "_take boolean")
     tested = tested.filter("_take").select(*by, "kf_id")
     chosen = late.join(tested, [*by, "kf_id"], "left_semi")
     pairs = chosen.join(early, [*by, "_gx", "_gy"]).filter(_close(radius, min_age)).select(*by, "kf1", F.col("kf_id").alias("kf2"))
@@ -400,7 +400,7 @@ def loop_candidates(
         take = last is None or now - last > skip
         return (now if take else last), (take,)
 
-    out = ordered_fold(pairs, [*by, "kf2"], ["kf1"], ["kf1"], lambda: None, thinned, "_take boolean")
+    out = spaced_fold(pairs, [*by, "kf2"], ["kf1"], ["kf1"], lambda: None, thinned, "_take boolean")
     return out.filter("_take").drop("_take")
 
 

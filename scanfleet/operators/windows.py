@@ -2,22 +2,27 @@
 
 All use :func:`scanfleet.operators.ordered.running`, so one long key is spread over many tasks.
 ``span`` is the chunk width in units of the first order column. Rules that select rows greedily
-(each choice depends on the last chosen row) stream a key's sorted rows through one task with
-constant memory instead.
+(each choice depends on the last chosen row) run in all ranges of a key at once and are put right
+at the borders (:func:`spaced_fold`); the running mean of scan times, which never forgets, streams a
+key's sorted rows through one task with constant memory.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanfleet.functions import geom
 from scanfleet.operators.ordered import Carry, running, with_halo
+from scanfleet.session import cut
 
 # Limits of the streams' health checks.
 IMU_GAP_S = 0.1
@@ -259,6 +264,92 @@ def ordered_fold(
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def spaced_fold(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    start: Callable[[], object],
+    step: Callable[[object, np.ndarray], tuple[object, tuple]],
+    out: str,
+) -> DataFrame:
+    """:func:`ordered_fold` for rules that soon forget where they began; a key of any size is spread over all tasks.
+
+    Rows are range-partitioned by key and order once, so a key's rows are consecutive and only the key at
+    a partition's border goes on in the next. Every partition first runs as if its border key began there; then
+    partitions whose predecessor ended in another state than they assumed run again from that state, all at
+    once, until none changes. A selection that keeps its last pick meets the assumed one after a few picks, so
+    few rounds are needed; a rule that never forgets would take one round for each partition. What the driver
+    holds is one state for each partition. ``order`` must be a total order within ``by``; nulls come first.
+    """
+    keys, names = list(by), list(columns)
+    by_order = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = df.repartitionByRange(parts, *by_order).sortWithinPartitions(*by_order) if by_order else df.coalesce(1)
+    base = cut(base.withColumn("_part", F.spark_partition_id()))
+    added = [f.strip().split() for f in out.split(",")]
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + out
+    kinds = {"boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "long": pa.int64()}
+
+    def walked(batches: Iterator[pa.RecordBatch], begin: dict[int, bytes]) -> Iterator[tuple[pa.RecordBatch, list, tuple]]:
+        """Each batch with its added fields and (part, first key, last key, state) so far."""
+        first, key, state = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("_part")[0].as_py()
+            ids = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            values = [batch.column(c) for c in names]
+            values = np.column_stack([(v.fill_null(False) if pa.types.is_boolean(v.type) else v).to_numpy(zero_copy_only=False).astype(float) for v in values])
+            rows = []
+            for k, row in zip(ids, values, strict=True):
+                if first is None:
+                    first, key = k, k
+                    state = pickle.loads(begin[part]) if part in begin else start()
+                elif k != key:
+                    key, state = k, start()
+                state, extra = step(state, row)
+                rows.append(extra)
+            yield batch, rows, (part, first, key, state)
+
+    def ends(begin: dict[int, bytes], only: set[int] | None) -> dict[int, tuple]:
+        """First key, last key and last state of the partitions in ``only`` (None: all)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
+            for batch in batches:
+                if only is not None and batch.num_rows and batch.column("_part")[0].as_py() not in only:
+                    return
+                for _, _, last in walked(chain([batch], batches), begin):
+                    pass
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int32()), *(pa.array([pickle.dumps(v)]) for v in last[1:])], names=["part", "first", "last", "state"])
+
+        found = base.select(*keys, *(n for n in dict.fromkeys(names) if n not in keys), "_part").mapInArrow(run, "part int, first binary, last binary, state binary")
+        return {r["part"]: (bytes(r["first"]), bytes(r["last"]), bytes(r["state"])) for r in found.collect()}  # a row for each partition
+
+    begin: dict[int, bytes] = {}
+    known = ends(begin, None)
+    while True:
+        due, before = {}, None
+        for part in sorted(known):
+            if before is not None and known[before][1] == known[part][0] and begin.get(part) != known[before][2]:
+                due[part] = known[before][2]
+            before = part
+        if not due:
+            break
+        begin |= due
+        known |= ends(begin, set(due))
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows, _ in walked(batches, begin):
+            more = [pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(added)]
+            own = [c for c in batch.schema.names if c != "_part"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *more], names=[*own, *(n for n, _ in added)])
+
+    return base.mapInArrow(final, schema)
+
+
 def _turned(q0: np.ndarray, q1: np.ndarray) -> float:
     """Rotation angle between two unit quaternions (w, x, y, z)."""
     dot = min(1.0, abs(float(np.dot(q0, q1))))
@@ -287,7 +378,7 @@ def select_keyframes(
 ) -> DataFrame:
     """First pose, then each pose farther or more turned than the limits from the last chosen one."""
     rule = keyframe_step(distance, math.radians(angle_deg), max_gap)
-    out = ordered_fold(poses, by, [t], [t, *geom.POSE_COLUMNS], lambda: None, rule, "_take boolean")
+    out = spaced_fold(poses, by, [t], [t, *geom.POSE_COLUMNS], lambda: None, rule, "_take boolean")
     return out.filter("_take").drop("_take")
 
 
@@ -304,7 +395,7 @@ def pick_update_frames(
         take = bool(row[5]) and due and float(row[4]) > min_score
         return (now if take else last), (bool(take),)
 
-    out = ordered_fold(results, by, [t, *ties], [t, "x", "y", "z", "score", "ok"], lambda: None, step, "_take boolean")
+    out = spaced_fold(results, by, [t, *ties], [t, "x", "y", "z", "score", "ok"], lambda: None, step, "_take boolean")
     return out.filter("_take").drop("_take")
 
 

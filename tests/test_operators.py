@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from scanfleet.functions import keys
+from scanfleet.functions import geom, keys
 from scanfleet.operators import joins, ordered, raster, windows
 from scanfleet.operators.ordered import Carry
 from scanfleet.streaming import folds
@@ -163,3 +163,34 @@ def test_every_loop_has_its_submap_and_every_near_pair_is_counted(spark):
     assert any(k % 100 != 50 for _, k in made)
     wide = run("j9_loop_ranges").groupBy().sum("n").first()[0]
     assert wide > run("j9_loop_pairs").count()
+
+
+def test_spread_selection_equals_the_fold(spark):
+    """One long track, several short ones, a null key and a parked stretch; more ranges than keys."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for key, n in [(1, 3000), (2, 7), (3, 1), (None, 400)]:
+        steps = rng.normal(0.3, 0.4, n)
+        steps[n // 3 : n // 2] = 0.0
+        x, yaw = np.cumsum(steps), np.cumsum(rng.normal(0, 0.05, n))
+        rows += [(key, i, float(x[i]), 0.0, 0.0, float(np.cos(yaw[i] / 2)), 0.0, 0.0, float(np.sin(yaw[i] / 2))) for i in range(n)]
+    poses = spark.createDataFrame(rows, ["run_id", "t", *geom.POSE_COLUMNS]).repartition(7)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = windows.select_keyframes(poses, ["run_id"], "t", 2.0, 15.0)
+        assert got.rdd.getNumPartitions() == 16
+        parts = got.withColumn("p", F.spark_partition_id()).filter("run_id = 1").select("p").distinct().count()
+        assert parts > 8  # the long key is in no single task
+        got = {(r["run_id"], r["t"]) for r in got.select("run_id", "t").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    want, rule = set(), windows.keyframe_step(2.0, np.radians(15.0), None)
+    for key in {r[0] for r in rows}:
+        state = None
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            state, (take,) = rule(state, np.array(r[1:], float))
+            if take:
+                want.add((key, r[1]))
+    assert got == want
+    assert windows.select_keyframes(poses.filter("false"), ["run_id"], "t").count() == 0
