@@ -6,19 +6,27 @@ can be looked up by its first ``m - ceil(2 * least / (1 + least) * m) + 1`` and
 ``n - ceil(least * n) + 1``. Rare shingles come first, so texts that share only a template, too short
 to link them, hardly meet. Frequencies are counted over all sets in a table of fixed size; shingles
 that fall on one place of it only share an order, which costs time and no link.
+
+Every prefix row carries a bitmap of its whole set, where a bit is the parity of the shingles that fall
+on it. Two bitmaps differ in at most as many bits as the sets do in shingles, so a pair whose bitmaps differ
+too much is dropped where it meets, before any set is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Places of the frequency table: what is broadcast is one byte for each.
 PLACES_BITS = 18
+#: Words of 64 bits in a set's bitmap.
+MAP_WORDS = 16
+MAP = [f"m{i}" for i in range(MAP_WORDS)]
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -51,6 +59,12 @@ def _place(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """The bitmap of a set."""
+    bits = np.bincount((found & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def levels(sets: DataFrame) -> np.ndarray:
     """The logarithm of how many shingles of all sets fall on each place."""
 
@@ -88,17 +102,22 @@ def crossing(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
                 probe, index = n - -(-p * n // q) + 1, n - -(-2 * p * n // (p + q)) + 1
                 first = found[np.lexsort((found, order.value[_place(found)]))[:probe]]
                 at = np.arange(len(first))
-                out.append((first.view(np.int64), np.full(len(first), node), np.full(len(first), label), np.full(len(first), n, np.int32), at.astype(np.int32), at < index))
+                whole = [np.full(len(first), v) for v in (node, label, *parities(found))]
+                out.append((first.view(np.int64), np.full(len(first), n, np.int32), at.astype(np.int32), at < index, *whole))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shingle", "node", "label", "n", "at", "indexed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
-    rows = sets.mapInArrow(run, "shingle long, node long, label long, n int, at int, indexed boolean")
+    names = ["shingle", "n", "at", "indexed", "node", "label", *MAP]
+    rows = sets.mapInArrow(run, "shingle long, n int, at int, indexed boolean, node long, label long, " + ", ".join(f"{m} long" for m in MAP))
     mixed = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("indexed").alias("any")).filter("lo <> hi and any").select("shingle")
     rows = rows.join(mixed, "shingle", "left_semi")
-    x = rows.filter("indexed").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "at")])
-    y = rows.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "at")])
+    held = ("node", "label", "n", "at", *MAP)
+    x = rows.filter("indexed").select("shingle", *[F.col(c).alias(f"x_{c}") for c in held])
+    y = rows.select("shingle", *[F.col(c).alias(f"y_{c}") for c in held])
     met = x.join(y, "shingle").filter(f"x_label <> y_label and x_n <= y_n and {q} * x_n >= {p} * y_n")
     # At most this many of them can still be shared, before and after the one they met at.
     most = F.least("x_at", "y_at") + 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
     met = met.filter((p + q) * most >= p * (F.col("x_n") + F.col("y_n")))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in MAP])
+    met = met.filter((p + q) * (F.col("x_n") + F.col("y_n") - apart) >= 2 * p * (F.col("x_n") + F.col("y_n")))
     return met.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
