@@ -124,7 +124,7 @@ class WordIds:
     """Token ids of texts, remembered per blank-separated word.
 
     The vocabulary drops white space, never joins across it and folds case, so a text's ids are its
-    words' ids in a row; a word of letters and a final comma or stop has the ids of both. Words of
+    words' ids in a row; a word of simple letters and a final comma or stop has the ids of both. Words of
     simple letters skip the steps that would leave them as they are. The memory is bounded: it is
     emptied when it holds :data:`REMEMBERED` words.
     """
@@ -142,13 +142,18 @@ class WordIds:
         self.parts = np.zeros((0, 2), np.int64)  # of each word: core, mark or -1
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    @staticmethod
+    def easy(word: str) -> bool:
+        """Whether a word is of simple letters only, which the vocabulary's normaliser does no more than fold."""
+        return word.isalpha() and (word.isascii() or max(word) < SIMPLE)
+
     def learn(self) -> None:
         """Ids of the words asked for since the last time."""
         core = self.cores
-        parts = [(core[w[:-1]], core[w[-1]]) if w[-1:] in (",", ".") and w[:-1].isalpha() else (core[w], -1) for w in self.words.new]
+        parts = [(core[w[:-1]], core[w[-1]]) if w[-1:] in (",", ".") and self.easy(w[:-1]) else (core[w], -1) for w in self.words.new]
         self.parts = np.concatenate([self.parts, np.array(parts, np.int64).reshape(-1, 2)])
         new = core.new
-        easy = [w.isalpha() and (w.isascii() or max(w) < SIMPLE) for w in new]
+        easy = [self.easy(w) for w in new]
         lengths, pieces = np.zeros(len(new), np.int64), []
         starts = np.zeros(len(new), np.int64)
         at = len(self.flat)
@@ -172,7 +177,7 @@ class WordIds:
         """Ids of each text and a final 0."""
         if len(self.words) > REMEMBERED:
             self.forget()
-        split = [t.encode().lower().decode().replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)
         if self.words.new:
             self.learn()

@@ -51,7 +51,7 @@ def test_op2_matches_the_tokenizer(spark, sf_dir, data):
 
 
 def test_word_memory_equals_the_tokenizer():
-    odd = ["", None, "Ab,cd. it's ’s 3.5, x,. .", "Σίσυφος ΣΑΣ. İ ǅ ªº, Ĳ ŉ.", "<|endoftext|> a<|startoftext|>b", "é É a ́b \x1cx\x85y z", "  \n\n ", "日本語。テスト", "don't. we'll, 'S"]
+    odd = ["", None, "Ab,cd. it's ’s 3.5, x,. .", "Σίσυφος ΣΑΣ. İ ǅ ªº, Ĳ ŉ.", "<|endoftext|> a<|startoftext|>b", "é É a ́b \x1cx\x85y z", "  \n\n ", "日本語。テスト", "don't. we'll, 'S", "İ. İ, a.", "J̌ǰ J̌. Á, É. T̈x, K.", "ΑΣ. ß, ẞ. ŉ, ﬁ."]
     tokenizer, memory = Tokenizer.from_file(packing.vocabulary_path()), packing.WordIds(packing.vocabulary_path())
     for _ in range(2):
         for text, ids in zip(odd, memory.encode(odd), strict=True):
@@ -60,6 +60,16 @@ def test_word_memory_equals_the_tokenizer():
     assert memory.encode(["the end."])[0].tolist() == [*tokenizer.encode("the end.", add_special_tokens=False).ids, 0]
 
 
+def test_word_memory_equals_the_tokenizer_on_random_strings():
+    """Letters below U+0250, combining marks, marks and blanks in any order."""
+    rng = random.Random(11)
+    letters = [chr(c) for c in range(0x21, 0x250)] + ["\u0301", "\u030c", "\u0307", "\u0345", "Σ", "ς", "語", " ", " ", ".", ",", "\n", "a", "B"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    tokenizer, memory = Tokenizer.from_file(packing.vocabulary_path()), packing.WordIds(packing.vocabulary_path())
+    for text, ids in zip(texts, memory.encode(texts), strict=True):
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], ascii(text)
+
+
 def test_pack_edge_cases(spark):
     rows = spark.createDataFrame([(1, None, 5), (2, 0, 5), (3, 2048, 5), (4, 1, 5), (4, 1, 5)], "id int, length long, offset int")
     got = sorted((r["id"], r["sequence_id"], r["offset"]) for r in packing.pack(rows).collect())
