@@ -82,7 +82,8 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, words: int, known: dict[bytes, int]) -> list[np.ndarray]:
+def shingle_sets_of(batch: pa.RecordBatch, words: int, known: dict[bytes, int]) -> list[np.ndarray]:
+    """:func:`shingles` of every text of a batch; the memory of word hashes is bounded."""
     if len(known) > 200_000:
         known.clear()
     return [shingles(t, words, known) for t in batch.column("text").to_pylist()]
@@ -94,7 +95,7 @@ def described(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in common.small_batches(batches, "text"):
-            sets = _sets(batch, words, known)
+            sets = shingle_sets_of(batch, words, known)
             least = [minima(s) if len(s) else None for s in sets]
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             keys = pa.array([None if m is None else band_keys(m) for m in least], pa.list_(pa.int64()))
@@ -111,7 +112,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in common.small_batches(batches, "text"):
-            sets = pa.array([s.tobytes() for s in _sets(batch, words, known)], pa.binary())
+            sets = pa.array([s.tobytes() for s in shingle_sets_of(batch, words, known)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["node", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, shingles binary").dropDuplicates()
@@ -151,6 +152,31 @@ def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
 
 
+def asked(dealt: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc_id`` of the nodes whose sets a link may need."""
+    crowded = dealt.filter(F.col("n") > SMALL).select(F.col("node").alias("doc_id"))
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded).distinct()
+
+
+def linked(nodes: DataFrame, dealt: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, root`` of the components that links between ``nodes`` make, confirmed on whole ``sets``.
+
+    First the links to the smallest of each bucket, then those that may still join two components: other
+    pairs of small buckets, and crowded buckets through ``prefixes``.
+    """
+    links = common.stored(prefixes.verified(pairs.filter("star"), sets, LEAST), "links")
+    label = common.stored(labelled(nodes.select("node").distinct(), simhash.components(links)), "labels")
+    a, b = (label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
+    rest = pairs.filter("not star").join(a, "a").join(b, "b").filter("of_a <> of_b")
+    mixed = dealt.filter(F.col("n") > SMALL).select("key", "node").join(label, "node")
+    torn = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    dense = mixed.join(torn, "key", "left_semi").select("node").distinct()
+    dense = common.stored(sets.join(dense, "node", "left_semi").join(label, "node"), "dense")
+    rest = rest.select("a", "b").unionByName(prefixes.crossing(dense, LEAST)).distinct()
+    more = prefixes.verified(common.stored(rest, "crossing"), sets, LEAST)
+    return simhash.components(links.unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (the smallest id that links reach) for every row of ``docs``.
 
@@ -166,22 +192,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     nodes = common.stored(chosen.select(F.col("doc_id").alias("node"), "keys", "signature").dropDuplicates(["node", "signature"]), "nodes")
     dealt = common.stored(buckets(nodes), "buckets")
     pairs = common.stored(promising(paired(dealt), nodes), "pairs")
-    crowded = dealt.filter(F.col("n") > SMALL)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded.select(F.col("node").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked(dealt, pairs), "doc_id", "left_semi")
     sets = common.stored(shingle_sets(texts, words), "sets")
-    # First the links to the smallest of each bucket, then what still may join two components.
-    links = common.stored(prefixes.verified(pairs.filter("star"), sets, LEAST), "links")
-    label = common.stored(labelled(nodes, simhash.components(links)), "labels")
-    a, b = (label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
-    rest = pairs.filter("not star").join(a, "a").join(b, "b").filter("of_a <> of_b")
-    mixed = crowded.select("key", "node").join(label, "node")
-    torn = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    dense = mixed.join(torn, "key", "left_semi").select("node").distinct()
-    dense = common.stored(sets.join(dense, "node", "left_semi").join(label, "node"), "dense")
-    rest = rest.select("a", "b").unionByName(prefixes.crossing(dense, LEAST)).distinct()
-    more = prefixes.verified(common.stored(rest, "crossing"), sets, LEAST)
-    found = simhash.components(links.unionByName(more))
+    found = linked(nodes, dealt, pairs, sets)
     label = labelled(firsts, found).distinct()
     named = known.select("doc_id", "digest").distinct().join(firsts, "digest").join(label, "node")
     named = named.groupBy("doc_id").agg(F.min("label").alias("component_id"))
