@@ -20,21 +20,22 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 
 
-def grams_of(hashes: Column) -> Column:
-    """Bucket numbers of all words, then of all pairs of neighbours."""
-    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    pair = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0))), _pair)
-    pair = F.slice(pair, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0)))
-    return F.concat(single, pair)
+def joined(hashes: Column, apart: int) -> Column:
+    """A hash of every two values that stand ``apart``; none where there are too few."""
+    n = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + apart), n), lambda a, b: F.xxhash64(a, b))
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return (F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)) + BUCKETS).cast("int")
+def grams_of(hashes: Column, pairs: Column) -> Column:
+    """Bucket numbers of all words, then of all pairs of neighbours."""
+    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    return F.concat(single, F.transform(pairs, lambda h: (F.pmod(h, F.lit(BUCKETS)) + BUCKETS).cast("int")))
 
 
 def with_words(docs: DataFrame, text_col: str) -> DataFrame:
     rows = docs.withColumn("__words", words_of(F.col(text_col)))
-    return rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+    return rows.withColumn("__pairs", joined(F.col("__hashes"), 1))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,7 +46,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     """
     chosen = trusted.select(id_col).dropna().distinct().orderBy(F.xxhash64(id_col), id_col).limit(TRUSTED)
     flagged = docs.select(id_col, text_col).join(F.broadcast(chosen.withColumn("__target", F.lit(1))), id_col, "left")
-    grams = with_words(flagged, text_col).select(F.coalesce("__target", F.lit(0)).alias("t"), F.explode(grams_of(F.col("__hashes"))).alias("b"))
+    grams = with_words(flagged, text_col).select(F.coalesce("__target", F.lit(0)).alias("t"), F.explode(grams_of(F.col("__hashes"), F.col("__pairs"))).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     buckets = docs.sparkSession.range(2 * BUCKETS, numPartitions=1).select(F.col("id").cast("int").alias("b"))
     full = buckets.join(counts, "b", "left").na.fill(0)
@@ -56,14 +57,13 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     return rated.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "r"))), lambda s: s["r"].cast("float")).alias("ratios"))
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words in windows of eight that the text has twice or more, from the words' hashes.
+def repeated_words(n_words: Column, pairs: Column) -> Column:
+    """Words in windows of eight that the text has twice or more, from the hashes of neighbouring words.
 
-    Windows are compared by a 64-bit hash. Equal windows stand together in sorted order; the sorted
+    Windows are compared by a 64-bit hash, made from pairs by way of fours. Equal windows stand together in sorted order; the sorted
     first words of those that have a twin then say how many words they cover.
     """
-    starts = F.sequence(F.lit(1), F.size(hashes) - REPEAT_WINDOW + 1)
-    windows = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, REPEAT_WINDOW)))
+    windows = joined(joined(pairs, 2), 4)
 
     def count(w: Column) -> Column:
         placed = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -79,7 +79,7 @@ def repeated_words(hashes: Column) -> Column:
         )
 
     distinct = _bind(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(count(w)))
-    return F.when(F.size(hashes) < REPEAT_WINDOW + 1, 0).otherwise(distinct).cast("long")
+    return F.when(n_words < REPEAT_WINDOW + 1, 0).otherwise(distinct).cast("long")
 
 
 def _bind(value: Column, use) -> Column:
@@ -97,7 +97,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "word_chars": F.char_length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
             "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("__hashes")),
+            "n_repeat_words": repeated_words(F.size("__words"), F.col("__pairs")),
         }
     )
 
@@ -112,10 +112,10 @@ def judge(docs: DataFrame, ratios: DataFrame, text_col: str = "text") -> DataFra
     rows = base_counts(with_words(rows, text_col), text_col)
     grams = F.col("__grams")
     total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.coalesce(F.get("__ratios", g), F.lit(0.0)))
-    rows = rows.withColumns({"__grams": grams_of(F.col("__hashes")), "__ratios": ratios.scalar()}).withColumn("score", F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0))
+    rows = rows.withColumns({"__grams": grams_of(F.col("__hashes"), F.col("__pairs")), "__ratios": ratios.scalar()}).withColumn("score", F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    return rows.withColumn("kept", ~failed & (F.col("score") >= THRESHOLD)).drop("__words", "__hashes", "__grams", "__ratios")
+    return rows.withColumn("kept", ~failed & (F.col("score") >= THRESHOLD)).drop("__words", "__hashes", "__pairs", "__grams", "__ratios")
 
 
 def op4(spark: SparkSession, sf: str) -> DataFrame:
