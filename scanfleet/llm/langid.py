@@ -14,15 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanfleet.llm import common
 
-#: Documented bounds: labelled documents that are learned from (expected number, dealt by a hash of the
-#: id, whole texts), words that are counted, and entries of the model that is sent to every task.
-SAMPLE_DOCS, COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST = 8_000, 120_000, 40_000, 40_000, 4
+#: Documented bounds, each for one language, so that a rare one is learned beside frequent ones: labelled documents
+#: (expected number, dealt by a hash of the id, whole texts), words that are counted, words and n-grams of a length
+#: in the model that is sent to every task; longest n-gram.
+SAMPLE_DOCS, COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST = 2_000, 30_000, 10_000, 10_000, 4
 UNKNOWN = "und"
 #: Weights of a fallback step, of one unknown character, and words remembered per task.
 STEP, FLOOR, REMEMBERED = math.log(0.4), math.log(1e-6), 300_000
@@ -67,7 +68,9 @@ def train(rows: Iterable[tuple[str, str, int]]) -> Model:
         whole: Counter[str] = Counter()
         for c in counters:
             whole.update(c)
-        kept = sorted((k for k, c in whole.items() if c >= least), key=lambda k: (-whole[k], k))[:most]
+        kept: dict[str, None] = {}
+        for c in counters:
+            kept |= dict.fromkeys(sorted((k for k in c if whole[k] >= least), key=lambda k: (-c[k], k))[:most])
         return {k: np.log((np.array([c[k] for c in counters]) + 0.01) / (total + 0.01 * (len(whole) + 1))) for k in kept}
 
     known = table([words[x] for x in languages], MAX_WORDS, 2)
@@ -120,15 +123,22 @@ class Scorer(dict):
 
 
 def word_counts(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str, int]]:
-    """(lang, word, count) of a hashed sample of the labelled rows: the ``COUNTED`` words with the largest shares of their language."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
-    dealt = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)
-    words = rows.filter(dealt).select(F.col(lang_col).alias("lang"), F.explode(F.split(text_col, r"\s+")).alias("word"))
-    counts = words.groupBy("lang", "word").count()
-    totals = counts.groupBy("lang").agg(F.sum("count").alias("total"))
-    shares = counts.join(totals, "lang").orderBy(F.desc(F.col("count") / F.col("total")), "lang", "word")
-    return [(r["lang"], r["word"], r["count"]) for r in shares.select("lang", "word", "count").limit(COUNTED).collect()]
+    """(lang, word, count) of a hashed sample of each language's labelled rows: its most frequent words, ``COUNTED`` at most.
+
+    Words are cut where a count, in steps of an eighth of a factor of two, would exceed that bound, so ties at the cut
+    go together. A row without an id is dealt like an id of its own; rows without text or language are left out. An
+    empty table gives an empty list.
+    """
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), id_col, text_col)
+    shares = rows.groupBy("lang").agg((F.least(F.lit(1.0), SAMPLE_DOCS / F.count("*")) * 1_000_000).cast("int").alias("share"))
+    dealt = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < F.col("share")
+    words = rows.join(shares, "lang").filter(dealt).select("lang", F.explode(F.split(text_col, r"\s+")).alias("word"))
+    counts = common.stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("size", F.floor(F.log2("n") * 8).cast("int")), "words")
+    above = Window.partitionBy("lang").orderBy(F.desc("size"))
+    steps = counts.groupBy("lang", "size").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(above))
+    cut = steps.filter(F.col("upto") <= COUNTED).groupBy("lang").agg(F.min("size").alias("least"))
+    kept = counts.join(cut, "lang").filter(F.col("size") >= F.col("least")).select("lang", "word", "n").toArrow()
+    return list(zip(*(kept.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -162,7 +172,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model from ``documents`` outside the held-out fifth."""
+    """A model from ``documents`` outside the held-out fifth; without a labelled row, one that knows no language."""
     return train(word_counts(docs.filter(common.fold(F.col("doc_id")) != 0), "doc_id", "text", "lang"))
 
 

@@ -137,5 +137,24 @@ def test_near_dedup_stage_finds_four_fifths(spark):
     assert len(got) == 1 + 100 + 2 * 20 + 1 + 2
 
 
+def test_near_dedup_stage_loses_no_link_among_texts_of_one_template(spark):
+    """Pairs at 0.82 in a corpus whose other texts have a likeness of 0.75 to each of them."""
+    rng, fresh = random.Random(9), iter(range(10**9))
+    template = [f"t{i}" for i in range(244)]
+    texts = []
+    for i in range(300):
+        words = template + [f"u{next(fresh)}" for _ in range(40)]
+        texts.append(words)
+        if i < 40:
+            texts.append([*words[:-28], *[f"u{next(fresh)}" for _ in range(28)]])
+    sets = [_shingles(" ".join(t)) for t in texts]
+    likeness = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert likeness(0, 1) >= 0.8 and 0.7 < likeness(0, 2) < 0.8
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, brute.frame(spark, rows), "").collect()}
+    assert kept == {i for i in range(len(texts)) if i >= 80 or i % 2 == 0}
+
+
 def test_near_dedup_stage_of_an_empty_table(spark, empty):
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0

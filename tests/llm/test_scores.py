@@ -26,6 +26,28 @@ def test_op3_predicts_the_held_out_fold(spark, sf_dir, data):
             assert r["lang_pred"] == lang
 
 
+def test_op3_accuracy_on_the_held_out_fold(spark):
+    """The fold by crc32 that nothing was learned from; a language with few documents is learned too."""
+    sf = "/root/testdata/sf0.01"
+    known = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = [(known[r["doc_id"]], r["lang_pred"]) for r in langid.op3(spark, sf).filter("held_out").collect() if known[r["doc_id"]]]
+    assert len(got) > 150 and sum(a == b for a, b in got) >= 0.98 * len(got)
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(langid, "COUNTED", 50)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "and", "water", "house", f"n{rng.randrange(999)}"]) for _ in range(30)), "en", "s", 1) for i in range(400)]
+    rows += [(1000 + i, "joki talo vesi kivi", "fi", "s", 1) for i in range(4)]
+    docs = brute.frame(spark, rows)
+    counted = langid.word_counts(docs, "doc_id", "text", "lang")
+    assert {w for x, w, _ in counted if x == "fi"} == {"joki", "talo", "vesi", "kivi"}
+    assert 0 < sum(x == "en" for x, _, _ in counted) <= 50
+    found = langid.identify(brute.frame(spark, [(1, "talo kivi", None, None, 0)]), langid.train(counted)).first()
+    assert found["lang_pred"] == "fi"
+
+
 def test_unseen_words_fall_back_to_shorter_grams():
     model = langid.train([("en", w, 5) for w in "the thing thinking water".split()] + [("fr", w, 5) for w in "eau eaux chose été".split()])
     scorer = langid.Scorer(model)
