@@ -9,9 +9,11 @@ one offset of consecutive sequences; pieces then take their slots by a join on l
 from __future__ import annotations
 
 import bisect
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +193,14 @@ class WordIds:
         return [np.append(flat[a:b], np.uint32(0)) for a, b in zip(text_ends[:-1], text_ends[1:], strict=True)]
 
 
+def remembered(path: str) -> WordIds:
+    """The memory of this worker process, kept from task to task: functions travel by value, so a module of its own holds it."""
+    kept = sys.modules.setdefault("scanfleet_worker_memory", ModuleType("scanfleet_worker_memory")).__dict__
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit) of every text and its end token 0.
 
@@ -198,7 +208,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
+        words = remembered(vocabulary)
         for batch in common.small_batches(batches, "text"):
             doc, piece, start, length, data = [], [], [], [], []
             for key, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
