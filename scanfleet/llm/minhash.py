@@ -27,6 +27,8 @@ from scanfleet.llm import common, prefixes, simhash
 WORDS, LEAST, BANDS, ROWS = 2, (4, 5), 40, 5
 #: Most rows of a bucket that are all paired; least equal bytes of two signatures.
 SMALL, EQUAL = 12, 120
+#: Rows with whole sets that a worker holds at once.
+SETS = 500
 
 
 def _factors(n: int, seed: int) -> np.ndarray:
@@ -164,7 +166,9 @@ def linked(nodes: DataFrame, dealt: DataFrame, pairs: DataFrame, sets: DataFrame
     First the links to the smallest of each bucket, then those that may still join two components: other
     pairs of small buckets, and crowded buckets through ``prefixes``.
     """
-    links = common.stored(prefixes.verified(pairs.filter("star"), sets, LEAST), "links")
+    spark = nodes.sparkSession
+    with common.rows_per_batch(spark, SETS):
+        links = common.stored(prefixes.verified(pairs.filter("star"), sets, LEAST), "links")
     label = common.stored(labelled(nodes.select("node").distinct(), simhash.components(links)), "labels")
     a, b = (label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
     rest = pairs.filter("not star").join(a, "a").join(b, "b").filter("of_a <> of_b")
@@ -172,8 +176,9 @@ def linked(nodes: DataFrame, dealt: DataFrame, pairs: DataFrame, sets: DataFrame
     torn = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     dense = mixed.join(torn, "key", "left_semi").select("node").distinct()
     dense = common.stored(sets.join(dense, "node", "left_semi").join(label, "node"), "dense")
-    rest = rest.select("a", "b").unionByName(prefixes.crossing(dense, LEAST)).distinct()
-    more = prefixes.verified(common.stored(rest, "crossing"), sets, LEAST)
+    with common.rows_per_batch(spark, SETS):
+        rest = common.stored(rest.select("a", "b").unionByName(prefixes.crossing(dense, LEAST)).distinct(), "crossing")
+        more = common.stored(prefixes.verified(rest, sets, LEAST), "links")
     return simhash.components(links.unionByName(more))
 
 
