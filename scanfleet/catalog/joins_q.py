@@ -174,20 +174,6 @@ def _(spark, sf):
     return J.loop_candidates(keyframe_poses(spark, sf, metres=False), radius=30_000.0)
 
 
-@register(
-    "j10_submaps",
-    f"""WITH c AS (SELECT DISTINCT run_id, kf_id AS kf1 FROM keyframes WHERE kf_id % 100 = 50),
-      w AS (SELECT c.run_id, c.kf1, p.kf_id, p.idx, k.x_mm + k.r00*p.x_mm - k.r10*p.y_mm AS x, k.y_mm + k.r10*p.x_mm + k.r00*p.y_mm AS y, k.z_mm + p.z_mm AS z, z.x_mm AS cx, z.y_mm AS cy, z.z_mm AS cz, z.r00 AS c0, z.r10 AS c1
-        FROM c JOIN (SELECT unnest(range(-40, 37, 4)) AS o) ON true JOIN keyframes k ON k.run_id = c.run_id AND k.kf_id = kf1 + o JOIN kf_points p ON p.run_id = k.run_id AND p.kf_id = k.kf_id JOIN keyframes z ON z.run_id = c.run_id AND z.kf_id = kf1)
-    SELECT run_id, kf1, kf_id, idx, {q6("(c0*(x-cx) + c1*(y-cy))/1000e0")} AS x, {q6("(-c1*(x-cx) + c0*(y-cy))/1000e0")} AS y, {q6("(z-cz)/1000e0")} AS z FROM w""",
-)
-def _(spark, sf):
-    poses = keyframe_poses(spark, sf)
-    centres = poses.filter("kf_id % 100 = 50").select("run_id", F.col("kf_id").alias("kf1"))
-    out = J.submaps(centres, poses, view(spark, sf, "kf_points", metres=True), world=False)
-    return out.select("run_id", "kf1", "kf_id", "idx", *(r6(c).alias(c) for c in "xyz"))
-
-
 @register(
     "j9_loop_ranges",
     """SELECT a.run_id, b.kf_id AS kf2, count(*) AS n, min(a.kf_id) AS first_kf1, max(a.kf_id) AS last_kf1 FROM keyframes a JOIN keyframes b ON a.run_id = b.run_id AND b.kf_id - a.kf_id >= 50
