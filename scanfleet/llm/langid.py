@@ -24,6 +24,8 @@ from scanfleet.llm import common
 #: (expected number, dealt by a hash of the id, whole texts), words that are counted, words and n-grams of a length
 #: in the model that is sent to every task; longest n-gram.
 SAMPLE_DOCS, COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST = 2_000, 30_000, 10_000, 10_000, 4
+#: Languages that are thinned to the bound of documents at most (rarer ones are taken whole).
+THINNED = 10_000
 UNKNOWN = "und"
 #: Weights of a fallback step, of one unknown character, and words remembered per task.
 STEP, FLOOR, REMEMBERED = math.log(0.4), math.log(1e-6), 300_000
@@ -130,9 +132,11 @@ def word_counts(labelled: DataFrame, id_col: str, text_col: str, lang_col: str)
     empty table gives an empty list.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), id_col, text_col)
-    shares = rows.groupBy("lang").agg((F.least(F.lit(1.0), SAMPLE_DOCS / F.count("*")) * 1_000_000).cast("int").alias("share"))
-    dealt = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < F.col("share")
-    words = rows.join(shares, "lang").filter(dealt).select("lang", F.explode(F.split(text_col, r"\s+")).alias("word"))
+    # Only languages with more rows than the bound are thinned, and of those the most frequent: what is broadcast is bounded.
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("rows")).filter(F.col("rows") > SAMPLE_DOCS).orderBy(F.desc("rows"), "lang").limit(THINNED)
+    shares = F.broadcast(frequent.select("lang", (F.lit(SAMPLE_DOCS * 1_000_000) / F.col("rows")).cast("int").alias("share")))
+    dealt = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < F.coalesce("share", F.lit(1_000_000))
+    words = rows.join(shares, "lang", "left").filter(dealt).select("lang", F.explode(F.split(text_col, r"\s+")).alias("word"))
     counts = common.stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("size", F.floor(F.log2("n") * 8).cast("int")), "words")
     above = Window.partitionBy("lang").orderBy(F.desc("size"))
     steps = counts.groupBy("lang", "size").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(above))
