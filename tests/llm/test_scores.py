@@ -197,6 +197,19 @@ def test_table_walk_is_the_automaton_walk(spark, data):
         assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6)
 
 
+def test_scores_do_not_depend_on_the_groups(spark, docs, monkeypatch):
+    """One group of all texts, or groups of a few rows each that ask about one another's n-grams."""
+    rows = docs.select("doc_id", "text")
+    learned = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
+    whole = sorted(lm.score(rows, learned).collect(), key=repr)
+    monkeypatch.setattr(lm, "GROUP_BYTES", 700)
+    parts = sorted(lm.score(rows, learned).collect(), key=repr)
+    assert len(whole) == len(parts) == docs.count()
+    by_row = [sorted(((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in x)) for x in (whole, parts)]
+    for a, b in zip(*by_row, strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-9)
+
+
 def test_states_do_not_depend_on_the_size_of_the_corpus(spark):
     rare = "x y z"  # twice in over two million tokens
     filler = " ".join(["p q r s"] * 10_000)
