@@ -22,7 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,8 @@ class Automaton:
 
 #: Text bytes of a document group.
 GROUP_BYTES = 8 << 20
+#: Characters by which texts that begin alike are found; beginnings sent to all tasks at most (16 bytes each).
+LEAD, HEAVY_ROWS = 40, 500_000
 #: What rounds ask for: counts of tokens, pairs and triples; what arcs leave to states of one and of two tokens.
 TOKEN, PAIR, TRIPLE, LEFT_OF_TOKEN, LEFT_OF_PAIR = range(5)
 ASKED = "kind int, bucket long, group long, keys binary, s binary, t binary"
@@ -134,13 +138,19 @@ def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in any order, and the place of each value among them."""
+    found = pa.array(codes).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 def planes(values: np.ndarray) -> bytes:
-    """Eight-byte values, all lowest bytes first: equal high bytes compress to nothing."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Eight-byte values, compressed with all lowest bytes first: equal high bytes take no room."""
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def unplaned(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def asked(kind: int, group: int, bits: int, keys: np.ndarray, s: np.ndarray, t: np.ndarray | None = None) -> list[tuple]:
@@ -199,25 +209,29 @@ def _size_of_bucket(table: pa.Table) -> pa.Table:
 class Group:
     """The n-grams of a group of texts: distinct hashes in ascending order, and which of them stand where."""
 
-    def __init__(self, texts: list[str | None]) -> None:
-        number: dict[bytes, int] = {}
-        found: list[int] = []
-        sizes = []
-        for text in texts:
-            tokens = tokens_of(text)
-            found += [number.setdefault(w, len(number)) for w in tokens]
-            sizes.append(len(tokens))
-        self.sizes = np.array(sizes, np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.tokens, rank = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)), return_inverse=True)
-        self.token = rank[np.array(found, np.int64)]
+    def __init__(self, texts: pa.Array | pa.ChunkedArray) -> None:
+        texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = pc.ascii_split_whitespace(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
+        flat, starts = words.flatten(), words.offsets.to_numpy()
+        starts = starts - starts[0]
+        full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+        words = flat.filter(pa.array(full)).dictionary_encode()
+        self.ends = np.append(0, np.cumsum(full))[starts[1:]] + np.arange(1, len(starts))
+        self.sizes = np.diff(self.ends, prepend=0)
+        known = pc.cast(words.dictionary, pa.large_binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [*known, END]), np.uint64, len(known) + 1)
+        self.tokens, rank = np.unique(hashes, return_inverse=True)
+        self.token = np.full(len(words) + len(self.ends), rank[-1])
+        inside = np.ones(len(self.token), bool)
+        inside[self.ends - 1] = False
+        self.token[inside] = rank[words.indices.to_numpy()]
 
     def find_pairs(self) -> None:
         """``pair`` is -1 at the first token of a text."""
         first = np.zeros(len(self.token), bool)
         first[self.ends - self.sizes] = True
         at = np.flatnonzero(~first)
-        codes, place = np.unique(self.token[at - 1] * len(self.tokens) + self.token[at], return_inverse=True)
+        codes, place = distinct(self.token[at - 1] * len(self.tokens) + self.token[at])
         b, c = np.divmod(codes, len(self.tokens))
         self.pairs, one, rank = np.unique(mixed(self.tokens[b], self.tokens[c]), return_index=True, return_inverse=True)
         self.b, self.c = b[one], c[one]
@@ -232,7 +246,7 @@ class Group:
         kept = np.append(self.n2 > 0, False)[self.pair]  # the last entry is that of -1
         at = np.flatnonzero(kept[1:] & kept[:-1]) + 1
         width = max(1, len(self.pairs))
-        codes, place = np.unique(self.pair[at - 1] * width + self.pair[at], return_inverse=True)
+        codes, place = distinct(self.pair[at - 1] * width + self.pair[at])
         ab, bc = np.divmod(codes, width)
         self.triples, one, rank = np.unique(mixed(self.pairs[ab], self.tokens[self.c[bc]]), return_index=True, return_inverse=True)
         self.ab, self.bc = ab[one], bc[one]
@@ -278,12 +292,33 @@ def _told(table: pa.Table) -> dict[int, np.ndarray]:
     return {k: np.concatenate(v) for k, v in found.items()}
 
 
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with a ``group`` of about :data:`GROUP_BYTES`, and the number of groups.
+
+    Texts that begin alike share their n-grams more often than others, so they go to one group, in
+    which an n-gram is asked for once; a beginning with more text than a group holds is split by the
+    rows' hash. There are fewer of those than groups. Were they more than :data:`HEAVY_ROWS`, rows
+    are dealt by hash alone: scores do not depend on the groups.
+    """
+    lead = F.xxhash64(F.substring("text", 1, LEAD))
+    sizes = common.stored(rows.groupBy(lead.alias("lead")).agg(F.sum(F.octet_length("text")).alias("bytes")), "leads")
+    heavy = sizes.filter(F.col("bytes") > GROUP_BYTES).select("lead", F.ceil(2 * F.col("bytes") / GROUP_BYTES).alias("ways"))
+    n_heavy, size = heavy.count(), sizes.agg(F.sum("bytes")).first()[0] or 0
+    n_groups = max(1, math.ceil(size / GROUP_BYTES))
+    by = F.xxhash64("doc_id", "text")
+    if n_heavy > HEAVY_ROWS:
+        return rows.withColumn("group", F.pmod(by, F.lit(n_groups))), n_groups
+    dealt = rows.withColumn("lead", lead).join(F.broadcast(heavy), "lead", "left")
+    part = F.pmod(by, F.coalesce("ways", F.lit(1)))
+    return dealt.withColumn("group", F.pmod(F.xxhash64("lead", part), F.lit(n_groups))).drop("lead", "ways"), n_groups
+
+
 def _size(rows: DataFrame, bits: int) -> tuple[int, int]:
     """Training tokens and distinct ones among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "text", 4 * GROUP_BYTES):
-            g = Group(batch.column("text").to_pylist())
+            g = Group(batch.column("text"))
             yield from _asked_table(asked(TOKEN, 0, bits, g.tokens, np.bincount(g.token).astype(float))).to_batches()
 
     counted = rows.filter("train").select("text").mapInArrow(run, ASKED)
@@ -304,15 +339,15 @@ def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id",
     if isinstance(training, DataFrame):
         kind = rows.schema["doc_id"].dataType
         rows = rows.unionByName(training.select(F.lit(None).cast(kind).alias("doc_id"), "text", F.lit(True).alias("train"), F.lit(False).alias("scored")))
-    n_groups = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / GROUP_BYTES))
+    rows, n_groups = _dealt(rows)
     bits = max(1, math.ceil(math.log2(n_groups)))
     n, v = _size(rows, bits)
     below = max(0.5, n + 0.5 * (v + 1))
     # All rounds read the texts from one shuffle: they are part of one plan.
-    grouped = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)))
+    texts = rows.groupBy("group")
 
     def count(table: pa.Table) -> pa.Table:
-        g = Group(table["text"].to_pylist())
+        g = Group(table["text"])
         g.find_pairs()
         group, train = table["group"][0].as_py(), np.repeat(table["train"].to_numpy().astype(float), g.sizes)
         tokens = np.bincount(g.token, train, len(g.tokens))
@@ -320,7 +355,7 @@ def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id",
         return _asked_table([*asked(TOKEN, group, bits, g.tokens, tokens), *asked(PAIR, group, bits, g.pairs, pairs)])
 
     def known(table: pa.Table, told: dict[int, np.ndarray]) -> Group:
-        g = Group(table["text"].to_pylist())
+        g = Group(table["text"])
         g.find_pairs()
         g.learn_counts(told, below)
         return g
@@ -353,7 +388,6 @@ def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id",
     def answered(questions: DataFrame) -> DataFrame:
         return questions.groupBy("kind", "bucket").applyInArrow(_answers, TOLD)
 
-    texts = grouped.groupBy("group")
     told = answered(texts.applyInArrow(count, ASKED))
     told = told.unionByName(answered(texts.cogroup(told.groupBy("group")).applyInArrow(lengthen, ASKED)))
     told = told.unionByName(answered(texts.cogroup(told.groupBy("group")).applyInArrow(close, ASKED)))
