@@ -210,8 +210,8 @@ class Group:
     """The n-grams of a group of texts: distinct hashes in ascending order, and which of them stand where."""
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray) -> None:
-        texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        words = pc.ascii_split_whitespace(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
+        whole = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())  # never a slice of a batch
+        words = pc.ascii_split_whitespace(pc.ascii_lower(whole))
         flat, starts = words.flatten(), words.offsets.to_numpy()
         starts = starts - starts[0]
         full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
