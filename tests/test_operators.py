@@ -220,3 +220,13 @@ def test_fusion_ignores_an_odometry_jump():
         odo = pose + np.array([100.0 if i >= 15 else 0.0, 0, 0, 0, 0, 0, 0])
         state, out = fuse.step(state, [*pose, *odo, 0.9])
     assert np.linalg.norm(np.array(out[:3]) - pose[:3]) < 0.1
+
+
+def test_fusion_has_settled_at_the_jump_itself():
+    """The row at which odometry jumps is fused near its localization, not on the way there."""
+    fuse, state = folds.fusion(), folds.fusion().start()
+    for i in range(16):
+        pose = np.array([0.5 * i, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0])
+        odo = pose + np.array([30.0 if i >= 12 else 0.0, 20.0 if i >= 12 else 0.0, 0, 0, 0, 0, 0])
+        state, out = fuse.step(state, [*pose, *odo, 0.9])
+        assert np.linalg.norm(np.array(out[:3]) - pose[:3]) < 0.2, i
