@@ -230,3 +230,15 @@ def test_fusion_has_settled_at_the_jump_itself():
         odo = pose + np.array([30.0 if i >= 12 else 0.0, 20.0 if i >= 12 else 0.0, 0, 0, 0, 0, 0])
         state, out = fuse.step(state, [*pose, *odo, 0.9])
         assert np.linalg.norm(np.array(out[:3]) - pose[:3]) < 0.2, i
+
+
+def test_next_values_are_not_computed_anew_for_every_row(spark):
+    """A frame that reaches to the end costs the square of a chunk; none is planned, and the values stay the same."""
+    df = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    for split in (False, True):
+        out = ordered.running(df, ["k"], ["t"], 50, [Carry("n", "next", F.col("v")), Carry("a", "next_after", F.col("v"))], split)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+        for r in out.collect():
+            later = [x for x in range(0, 200, 7) if x >= r["t"]]
+            assert r["n"] == (later[0] if later else None)
+            assert r["a"] == next((x for x in later if x > r["t"]), None)
