@@ -158,3 +158,19 @@ def test_near_dedup_stage_loses_no_link_among_texts_of_one_template(spark):
 
 def test_near_dedup_stage_of_an_empty_table(spark, empty):
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
+
+
+def test_near_dedup_stage_links_what_its_simhash_finds(spark, monkeypatch):
+    """Copies with one word in 2,000 changed are candidates by SimHash alone: here no bucket of minima pairs anything."""
+    from scanfleet.llm import minhash
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(9000)}" for _ in range(2000)]
+        texts += [" ".join(words), " ".join([*words[:-1], "changed"])]
+    texts += ["", None, "one two"]
+    monkeypatch.setattr(minhash, "paired", lambda dealt: dealt.selectExpr("node AS a", "least AS b", "true AS star").limit(0))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, brute.frame(spark, rows), "").collect()}
+    assert kept == {*range(0, 24, 2), 24, 26}
