@@ -62,13 +62,13 @@ def recent_map(pts):
     return kept.select((F.col("scan_id") * 100000 + F.col("idx")).alias("map_id"), "x", "y", "z")
 
 
-def five_nearest(pts, k: int = 5):
-    return J.knn(pts, recent_map(pts), ["scan_id", "idx"], "map_id", k, 5000, 500, 19)
+def five_nearest(pts, k: int = 5, find=J.knn_lists):
+    return find(pts, recent_map(pts), ["scan_id", "idx"], "map_id", k, 5000, 500, 19)
 
 
 @register("j3_knn", f"WITH {knn_sql(5)} SELECT scan_id, idx, map_id, d2, rank FROM n")
 def _(spark, sf):
-    return five_nearest(view(spark, sf, "points")).select("scan_id", "idx", "map_id", "d2", "rank")
+    return five_nearest(view(spark, sf, "points"), find=J.knn).select("scan_id", "idx", "map_id", "d2", "rank")
 
 
 @register("j4_nearest", f"WITH {knn_sql(1)} SELECT scan_id, idx, map_id, d2 FROM points LEFT JOIN n USING (scan_id, idx)")

@@ -78,24 +78,24 @@ def admit_points(
 ) -> DataFrame:
     """Map increment rule: which points enter the map.
 
-    ``knn`` has the key, ``rank`` (1 = nearest) and the neighbour's ``nx, ny, nz``. A point enters
+    ``knn`` has the key and an array ``near`` (nearest first) of structs with ``nx, ny, nz``, or rows with ``rank``
+    (1 = nearest) and these. A point enters
     when it has no neighbour, when its nearest one lies outside its leaf box in all three axes, or
     unless one of the first five (with at least five present) is closer to the leaf centre.
     """
+    if "near" not in knn.columns:
+        knn = knn.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "nx", "ny", "nz"))).alias("near"))
+    j = points.join(knn.select(*key, F.col("near").alias("_near")), list(key), "left")
     centre = [(F.floor(F.col(c) / leaf) + 0.5) * leaf for c in "xyz"]
-    j = points.select(*key, *(c.alias(f"_c{i}") for i, c in enumerate(centre)), *(F.col(c).alias(f"_p{i}") for i, c in enumerate("xyz")))
-    near = knn.select(*key, "rank", "nx", "ny", "nz").join(j, list(key))
-    d = [F.col(n) - F.col(f"_c{i}") for i, n in enumerate(("nx", "ny", "nz"))]
-    own = sum(((F.col(f"_p{i}") - F.col(f"_c{i}")) * (F.col(f"_p{i}") - F.col(f"_c{i}")) for i in range(1, 3)), (F.col("_p0") - F.col("_c0")) * (F.col("_p0") - F.col("_c0")))
+    j = j.withColumns({f"_c{i}": c for i, c in enumerate(centre)})
+    gap = lambda p: [p[n] - F.col(f"_c{i}") for i, n in enumerate(("nx", "ny", "nz"))]
+    square = lambda d: d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    own = square([F.col(c) - F.col(f"_c{i}") for i, c in enumerate("xyz")])
+    d = gap(F.col("_near")[0])
     outside = (F.abs(d[0]) > 0.5 * leaf) & (F.abs(d[1]) > 0.5 * leaf) & (F.abs(d[2]) > 0.5 * leaf)
-    closer = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) < own + eps
-    verdict = near.groupBy(*key).agg(
-        F.max(F.when(F.col("rank") == 1, outside)).alias("_out"),
-        F.max(F.when(F.col("rank") <= MATCH_POINTS, closer)).alias("_closer"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    keep = F.col("_n").isNull() | F.col("_out") | (F.col("_n") < MATCH_POINTS) | ~F.col("_closer")
-    return points.join(verdict, list(key), "left").filter(keep).drop("_out", "_closer", "_n")
+    closer = F.exists(F.slice("_near", 1, MATCH_POINTS), lambda p: square(gap(p)) < own + eps)
+    keep = F.col("_near").isNull() | outside | (F.size("_near") < MATCH_POINTS) | ~closer
+    return j.filter(keep).select(*points.columns)
 
 
 def keep_last(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, span: float) -> DataFrame:

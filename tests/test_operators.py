@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scanfleet.functions import geom, keys
-from scanfleet.operators import joins, ordered, raster, windows
+from scanfleet.operators import aggregate as A
+from scanfleet.operators import joins, ordered, raster, retain, windows
 from scanfleet.operators.ordered import Carry
 from scanfleet.streaming import folds
 
@@ -93,6 +94,41 @@ def test_knn_levels_equal_brute_force(spark):
     assert near(30) == want
 
 
+def test_knn_shares_a_crowded_cell_and_streams_over_batches(spark):
+    rng = np.random.default_rng(7)
+    pts, q = rng.integers(-300, 300, (150, 3)), rng.integers(-90, 90, (700, 3))
+    m = spark.createDataFrame(pd.DataFrame(pts, columns=list("xyz")).assign(map_id=[f"m{i:03}" for i in range(len(pts))]))
+    qs = spark.createDataFrame(pd.DataFrame(q, columns=list("xyz")).assign(q=np.arange(len(q))))
+    want = {}
+    for i, p in enumerate(q):
+        d2 = ((pts - p) ** 2).sum(axis=1)
+        for r, (d, j) in enumerate(sorted((d2[j], j) for j in np.flatnonzero(d2 < 150**2))[:3], 1):
+            want[i, r] = (f"m{j:03}", d)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+        near = joins.knn_lists(qs, m, ["q"], "map_id", 3, 150.0, 200.0, 27, share=50)
+        got = {(r.q, i): (n.map_id, n.d2) for r in near.collect() for i, n in enumerate(r.near, 1)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == want
+
+
+def test_plane_fit_and_admission_take_arrays_and_rows(spark):
+    rng = np.random.default_rng(3)
+    xy = rng.integers(1000, 3000, (60, 2))
+    pts = np.column_stack([xy, 500 + rng.integers(-5, 6, 60)])
+    m = spark.createDataFrame(pd.DataFrame(pts, columns=list("xyz")).assign(map_id=np.arange(60)))
+    qs = m.selectExpr("map_id AS q", "x + 3 AS x", "y", "z")
+    args = (qs, m, ["q"], "map_id", 5, 2000.0, 500.0, 27)
+    forms = joins.knn_lists(*args), joins.knn(*args)
+    plane = lambda near: sorted(tuple(r) for r in A.plane_fit(near, ["q"], 0.1, 1e-3).collect())
+    taken = lambda near: sorted(r.q for r in retain.admit_points(qs, near, ["q"], 500.0, 1.0).collect())
+    assert plane(forms[0]) == plane(forms[1]) and taken(forms[0]) == taken(forms[1])
+    for r in A.plane_fit(forms[0], ["q"], 0.1, 1e-3).collect():
+        assert r.n == 5 and abs(r.pc) > 0.95 and r.max_dist < 0.02
+
+
 def test_hilbert_neighbours_touch(spark):
     side = 8
     rows = [(x, y, z) for x in range(side) for y in range(side) for z in range(side)]
