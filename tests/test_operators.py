@@ -206,6 +206,47 @@ def test_every_loop_has_its_submap_and_every_near_pair_is_counted(spark):
     assert wide > run("j9_loop_pairs").count()
 
 
+def test_loops_are_swept_without_pairs(spark):
+    """Laps with exact border distances, coincident and parked keyframes, several blocks and parts of ids."""
+    from functools import partial
+
+    from scanfleet.operators.sweep import Counts, Picks, sweep
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for run, n in ((0, 900), (1, 60), (2, 1)):
+        lap = np.arange(n) % 120
+        x = np.where(lap < 60, lap, 119 - lap) * 2.0 + rng.integers(-1, 2, n)
+        x[n // 4 : n // 3] = 4.0
+        y = np.where(lap < 60, 0.0, 5.0)
+        rows += [(run, int(3 * i - 40), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    kf = spark.createDataFrame([*rows, (None, 5, 0.0, 0.0)], "run_id bigint, kf_id bigint, tx double, ty double")
+    near = {}
+    for run, k2, x2, y2 in rows:
+        near[run, k2] = [k1 for r, k1, x1, y1 in rows if r == run and k2 - k1 >= 60 and (x2 - x1) ** 2 + (y2 - y1) ** 2 < 900.0]
+    near = {k: v for k, v in near.items() if v}
+    limits = {"radius": 30.0, "min_age": 60}
+    for shape in ({"part_ids": 1 << 20, "block": 1 << 18}, {"part_ids": 500, "block": 70}):
+        got = sweep(kf, kf, ["run_id"], visit=partial(Counts, any_=False, **limits), columns=Counts.columns, **limits, **shape).collect()
+        assert sorted(map(tuple, got)) == sorted((r, k, len(v), min(v), max(v)) for (r, k), v in near.items())
+        some = sweep(kf, kf, ["run_id"], visit=partial(Counts, any_=True, **limits), columns=Counts.columns, **limits, **shape).collect()
+        assert sorted((r.run_id, r.kf2) for r in some) == sorted(near)
+        want = set()
+        for (r, k), v in near.items():
+            last = None
+            for k1 in v:
+                if last is None or k1 - last > 20:
+                    last = k1
+                    want.add((r, k, k1))
+        got = sweep(kf, kf, ["run_id"], visit=partial(Picks, skip=20, **limits), columns=Picks.columns, **limits, **shape).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    # Far more pairs than rows may be made of: two million within the radius.
+    stood = spark.range(2100).select(F.lit(0).alias("run_id"), F.col("id").alias("kf_id"), F.lit(1.0).alias("tx"), F.lit(2.0).alias("ty"))
+    plan = joins.loop_ranges(stood, radius=30.0)
+    assert "_x1" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.groupBy().sum("n").first()[0] == sum(range(2051))
+
+
 def test_spread_selection_equals_the_fold(spark):
     """One long track, several short ones, a null key and a parked stretch; more ranges than keys."""
     rng = np.random.default_rng(5)
