@@ -206,6 +206,19 @@ def test_every_loop_has_its_submap_and_every_near_pair_is_counted(spark):
     assert wide > run("j9_loop_pairs").count()
 
 
+def test_poses_meet_their_tiles_before_they_are_multiplied(spark):
+    rng = np.random.default_rng(3)
+    poses = [(int(i), float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-300, 300, (200, 2)))]
+    tiles = [(x, y) for x in range(-3, 4) for y in range(-3, 4) if (x + y) % 3] + [(1, 1)]  # one tile is listed twice
+    df = spark.createDataFrame(poses, "kf_id bigint, x double, y double")
+    out = joins.tiles_near(df, spark.createDataFrame(tiles, "gx bigint, gy bigint"), 2, 100.0)
+    home = {i: (math.floor(x / 100 + 0.5), math.floor(y / 100 + 0.5)) for i, x, y in poses}
+    want = [(i, gx, gy) for i, (hx, hy) in home.items() for gx, gy in tiles if abs(gx - hx) + abs(gy - hy) <= 2]
+    assert sorted((r.kf_id, r.gx, r.gy) for r in out.collect()) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_near") < plan.index("Join Inner")  # the join lies below
+
+
 def test_loops_are_swept_without_pairs(spark):
     """Laps with exact border distances, coincident and parked keyframes, several blocks and parts of ids."""
     from functools import partial
