@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,8 +126,8 @@ class WordIds:
 
     The vocabulary drops white space, never joins across it and folds case, so a text's ids are its
     words' ids in a row; a word of simple letters and a final comma or stop has the ids of both. Words of
-    simple letters skip the steps that would leave them as they are. The memory is bounded: it is
-    emptied when it holds :data:`REMEMBERED` words.
+    simple letters skip the steps that would leave them as they are, and their last id says that a word ends, so
+    no positions are kept for them. The memory is bounded: it is emptied when it holds :data:`REMEMBERED` words.
     """
 
     def __init__(self, path: str) -> None:
@@ -135,6 +136,11 @@ class WordIds:
         self.whole, self.simple = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.simple.normalizer = None
         self.simple.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = self.plain.pre_tokenizer = None
+        known = self.whole.get_vocab()
+        self.final = np.zeros(max(known.values()) + 1, bool)
+        self.final[[i for w, i in known.items() if w.endswith(self.whole.model.end_of_word_suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -149,22 +155,32 @@ class WordIds:
 
     def learn(self) -> None:
         """Ids of the words asked for since the last time."""
-        core = self.cores
-        parts = [(core[w[:-1]], core[w[-1]]) if w[-1:] in (",", ".") and self.easy(w[:-1]) else (core[w], -1) for w in self.words.new]
+        core, easy = self.cores, self.easy
+        bare = pc.match_substring_regex(pa.array(self.words.new, pa.string()), "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        parts = [
+            (core[w], -1) if b else (core[w[:-1]], core[w[-1]]) if w[-1:] in (",", ".") and easy(w[:-1]) else (core[w], -1)
+            for w, b in zip(self.words.new, bare.tolist(), strict=True)
+        ]
         self.parts = np.concatenate([self.parts, np.array(parts, np.int64).reshape(-1, 2)])
         new = core.new
-        easy = [self.easy(w) for w in new]
+        kinds: list[list[int]] = [[], [], []]
+        for i, w in enumerate(new):
+            kinds[(0 if w.isascii() else 1 if max(w) < SIMPLE else 2) if w.isalpha() else 2].append(i)
         lengths, pieces = np.zeros(len(new), np.int64), []
         starts = np.zeros(len(new), np.int64)
         at = len(self.flat)
-        for kind, tokenizer in ((True, self.simple), (False, self.whole)):
-            which = [i for i, e in enumerate(easy) if e == kind]
+        for tokenizer, which in zip((self.plain, self.simple, self.whole), kinds, strict=True):
             if not which:
                 continue
-            given = [new[i].lower() if kind else new[i] for i in which]
-            found = tokenizer.encode(given, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(which))
+            if tokenizer is self.whole:
+                found = tokenizer.encode([new[i] for i in which], is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(found.ids, np.uint32)
+                sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(which))
+            else:
+                given = [new[i].lower() for i in which]
+                (found,) = tokenizer.encode_batch_fast([given], is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(found.ids, np.uint32)
+                sizes = np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
             lengths[which] = sizes
             starts[which] = at + np.cumsum(sizes) - sizes
             at += len(ids)

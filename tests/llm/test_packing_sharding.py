@@ -133,3 +133,30 @@ def test_odd_documents_tokenize(spark, empty):
     rows = brute.frame(spark, [(None, "a b", "", "", 0), (1, "w " * 3000, "", "", 0)])
     got = packing.token_pieces(rows, packing.vocabulary_path()).collect()
     assert sorted((r["doc_id"] or 0, r["piece"], r["length"]) for r in got) == [(0, 0, 3), (1, 0, 2048), (1, 1, 953)]
+
+
+def test_plain_words_are_encoded_without_positions():
+    """Ids equal the whole vocabulary's; words of plain letters never take the steps that track where letters came from."""
+    from scanfleet.llm.packing import WordIds, vocabulary_path
+
+    texts = ["Over the  Quick, brown\nfox.", None, "", "Ünïcode straße, été. İst", "a,b ... x1 $$$ don't, \U00010400", "Lazy," * 3 + " , ."]
+    ids = WordIds(vocabulary_path())
+    for text, got in zip(texts, ids.encode(texts), strict=True):
+        assert got.tolist() == [*ids.whole.encode(text or "", add_special_tokens=False).ids, 0]
+
+    class Unused:
+        def encode(self, *args, **kwargs):
+            raise AssertionError("positions are tracked")
+
+        encode_batch_fast = encode
+
+    again = WordIds(vocabulary_path())
+    want = [*again.whole.encode("Some plain words, and MORE.", add_special_tokens=False).ids, 0]
+    again.simple = Unused()
+    whole, again.whole = again.whole, Unused()
+    again.words[","], again.words["."] = 0, 1  # marks are learned by the whole vocabulary
+    again.words.new += [",", "."]
+    again.whole = whole
+    again.learn()
+    again.whole = Unused()
+    assert again.encode(["Some plain words, and MORE."])[0].tolist() == want
