@@ -219,6 +219,20 @@ def test_poses_meet_their_tiles_before_they_are_multiplied(spark):
     assert plan.index("Generate explode(_near") < plan.index("Join Inner")  # the join lies below
 
 
+def test_small_groups_are_ordered_whole_and_large_ones_in_buckets(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if k == 3 else k, float(v)) for k, n in ((0, 700), (1, 40), (2, 1), (3, 25)) for v in rng.integers(0, 90, n)] + [(1, None), (4, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    picks = {"med": F.floor(F.col("n") / 2), "top": F.col("n") - 1}
+    values = {}
+    for k, v in rows:
+        values.setdefault(k, []).extend([v] if v is not None else [])
+    want = {k: (sorted(v)[len(v) // 2], max(v)) for k, v in values.items() if v}
+    for whole in (0, 50, 20_000):
+        got = ordered.order_stats(df, ["k"], "v", picks, 16, whole=whole).collect()
+        assert {r.k: (r.med, r.top) for r in got} == want
+
+
 def test_loops_are_swept_without_pairs(spark):
     """Laps with exact border distances, coincident and parked keyframes, several blocks and parts of ids."""
     from functools import partial
