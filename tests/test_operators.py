@@ -12,7 +12,8 @@ from scanfleet.functions import geom, keys
 from scanfleet.operators import aggregate as A
 from scanfleet.operators import joins, ordered, raster, retain, windows
 from scanfleet.operators.ordered import Carry
-from scanfleet.streaming import folds
+from scanfleet.session import scratch_path
+from scanfleet.streaming import flows, folds
 
 
 @pytest.fixture(scope="module")
@@ -357,3 +358,21 @@ def test_next_values_are_not_computed_anew_for_every_row(spark):
             later = [x for x in range(0, 200, 7) if x >= r["t"]]
             assert r["n"] == (later[0] if later else None)
             assert r["a"] == next((x for x in later if x > r["t"]), None)
+
+
+def test_live_rules_keep_many_keys_in_few_states(spark):
+    """Live rules equal replayed ones, null keys included, with at most one state for a bucket and the null key."""
+    rng = np.random.default_rng(8)
+    rows = [(None if k == 39 else int(k), i, float(i), float(rng.uniform(0, 1)), bool(rng.random() < 0.6), i % 7 == 0, float(i), float(k)) for i in range(30) for k in range(40)]
+    df = spark.createDataFrame(rows, "vehicle_id bigint, seq bigint, t double, score double, ok boolean, parking boolean, x double, y double")
+    rule = folds.loc_status(0.3, 0.1, 2, 1, 3)
+    base = scratch_path(spark, "live")
+    query = flows.stream_sink(folds.live(flows.as_stream(df, "t"), ["vehicle_id"], ["t", "seq"], rule, buckets=4), f"{base}/out", f"{base}/ck", available_now=True)
+    query.awaitTermination()
+    assert 1 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5
+    # The replay starts a null key anew in every row, so the null key gets a number there.
+    numbered = df.fillna(39, ["vehicle_id"])
+    told = ["vehicle_id", "seq", "status", "fail_count", "unusual", "out_x", "out_y"]
+    want = {tuple(r) for r in folds.replay(numbered, ["vehicle_id"], ["t", "seq"], rule).select(told).collect()}
+    got = [tuple(r) for r in spark.read.parquet(f"{base}/out").fillna(39, ["vehicle_id"]).select(told).collect()]
+    assert len(got) == len(rows) and set(got) == want
